@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .jaccard_join import op9_jaccard_join
 from .substring_dedup import op2_suffix_dedup
 
-QUERIES = {"op2_suffix_dedup": op2_suffix_dedup}
+QUERIES = {"op2_suffix_dedup": op2_suffix_dedup, "op9_jaccard_join": op9_jaccard_join}
 ORACLE_SQL: dict[str, str] = {}
