@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .jaccard_join import op9_jaccard_join
+from .quality_rules import op3_quality_rules
+from .sql import QUALITY
 from .substring_dedup import op2_suffix_dedup
 
-QUERIES = {"op2_suffix_dedup": op2_suffix_dedup, "op9_jaccard_join": op9_jaccard_join}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op2_suffix_dedup": op2_suffix_dedup, "op3_quality_rules": op3_quality_rules, "op9_jaccard_join": op9_jaccard_join}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": QUALITY}
