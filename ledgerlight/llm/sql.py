@@ -1,6 +1,7 @@
 """DuckDB SQL of the training-data queries that SQL can express."""
 
 from .quality_rules import BUCKETS, THRESHOLD, TRUSTED
+from .url_reputation import FLOOR, LEAST, LONG_SUFFIXES, MOST, RULES, Z
 
 #: CRC-32 of each token by its table, made from the reversed polynomial 0xEDB88320.
 QUALITY = f"""
@@ -54,3 +55,46 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
   coalesce(llr_sum, 0) as llr_sum, coalesce(n_features, 0) as n_features
 from base left join score using (doc_id)
 """
+
+
+def _strength(groups: str, parent: str) -> str:
+    """SQL of a level's prior strength by moments."""
+    p = "s::double / n"
+    return f"""select case when tau2 is null then {LEAST} when tau2 <= 0 then {MOST} else least(greatest(noise / tau2 - 1, {LEAST}), {MOST}) end as m from (
+      select sum(n * {parent} * (1 - {parent})) / sum(n) as noise,
+        (sum(n * ({p} - {parent}) * ({p} - {parent})) - (count(*) - 1) * (sum(n * {parent} * (1 - {parent})) / sum(n))) / nullif(sum(n) - sum(n * n)::double / sum(n), 0) as tau2
+      from {groups} where n > 0)"""
+
+
+_LONG = "|".join(x.replace(".", "\\.") for x in LONG_SUFFIXES)
+_FITS = [(f"(host = '{r.partition('/')[0]}' or ends_with(host, '.{r.partition('/')[0]}')) and starts_with(path, '/{r.partition('/')[2]}')", r, v) for r, v in sorted(RULES, key=lambda x: (-len(x[0]), x[0]))]
+_RULE = " ".join(f"when {c} then '{r}'" for c, r, _ in _FITS)
+_VERDICT = " ".join(f"when {c} then '{v}'" for c, _, v in _FITS)
+
+REPUTATION = f"""
+with p as (
+  select page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) as path
+  from pages
+),
+good as (select doc_id, count(*) as n, sum(quality) as s from labels where doc_id is not null and quality is not null group by doc_id),
+hosts as (
+  select host, coalesce(sum(n), 0)::bigint as n, coalesce(sum(s), 0)::bigint as s,
+    regexp_extract(host, '([^.]*\\.)?({_LONG}|[^.]*)$', 0) as domain, regexp_extract(host, '({_LONG}|[^.]*)$', 0) as suffix
+  from p left join good on page_id = doc_id group by host
+),
+overall as (select (coalesce(sum(s), 0) + 1)::double / (coalesce(sum(n), 0) + 2) as r from hosts),
+tops as (select suffix, sum(n) as n, sum(s) as s, any_value(r) as up from hosts, overall group by suffix),
+tops_m as ({_strength('tops', 'up')}),
+tops_r as (select suffix, (m * up + s) / (m + n) as r from tops, tops_m),
+doms as (select domain, suffix, sum(n) as n, sum(s) as s, any_value(r) as up from hosts join tops_r using (suffix) group by domain, suffix),
+doms_m as ({_strength('doms', 'up')}),
+doms_r as (select domain, (m * up + s) / (m + n) as r from doms, doms_m),
+hs as (select host, n, s, r as up from hosts join doms_r using (domain)),
+hs_m as ({_strength('hs', 'up')}),
+score as (
+  select host, n, s, r - {Z} * sqrt(r * (1 - r) / (m + n + 1)) as bound from (select host, n, s, m, (m * up + s) / (m + n) as r from hs, hs_m)
+)
+select page_id, host, path, case {_RULE} end as rule, case {_VERDICT} when bound < {FLOOR} then 'block' else 'allow' end as verdict, n as n_labels, s as n_good
+from p join score using (host)
+"""
