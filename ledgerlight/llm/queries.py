@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op10_latent_decontamination
 from .jaccard_join import op9_jaccard_join
 from .license_scan import op7_license_scan
 from .mixing import op4_entropy_mixing
@@ -15,6 +16,6 @@ from .warc_bundles import op6_warc_bundles
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_reputation, op2_suffix_dedup, op3_quality_rules, op4_entropy_mixing, op5_extendible_hashing, op6_warc_bundles, op7_license_scan, op8_token_files, op9_jaccard_join)
+    for f in (op1_url_reputation, op2_suffix_dedup, op3_quality_rules, op4_entropy_mixing, op5_extendible_hashing, op6_warc_bundles, op7_license_scan, op8_token_files, op9_jaccard_join, op10_latent_decontamination)
 }
 ORACLE_SQL: dict[str, str] = {"op1_url_reputation": REPUTATION, "op3_quality_rules": QUALITY}
