@@ -50,7 +50,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def words_column(text):
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as an array, JVM-side; null or blank gives an empty array."""
-    flat = F.regexp_replace(F.coalesce(text, F.lit("")), "^[ \\x09-\\x0D]+|[ \\x09-\\x0D]+$", "")
+    flat = F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
     return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, "[ \\x09-\\x0D]+"))
 
 

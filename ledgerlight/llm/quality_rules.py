@@ -1,7 +1,7 @@
 """Quality rules: base counts, and a hashed n-gram log-likelihood ratio of trusted text against the raw corpus.
 
-DataFrame functions only. Tokens are words with runs of ASCII punctuation apart; features are hashed token unigrams and
-bigrams. Two multinomials over the hash buckets, one of the trusted documents (labelled good and not toxic) and one of
+DataFrame functions only. Features are hashed character trigrams that end the words, and bigrams of these along the text:
+endings tell languages, capitals, symbols and layout apart whatever the vocabulary. Two multinomials over the hash buckets, one of the trusted documents (labelled good and not toxic) and one of
 the whole corpus, give each bucket a log ratio in thousandths, a whole number. A document's score is the sum over its
 features divided by their number; it is kept from ``threshold`` (in thousandths) on. All sums are whole numbers, so the
 verdict does not hang on the order of rows.
@@ -26,18 +26,14 @@ from .common import words_column
 BUCKETS = 16_384
 TRUSTED = 4_096
 THRESHOLD = -300
-
-
-def _features(text):
-    """Bucket numbers of all token unigrams and bigrams of a text column, as SQL over a column named ``tokens``."""
-    return words_column(F.regexp_replace(text, "([!-/:-@\\[-`{-~]+)", " $1 "))
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr_sum", "n_features")
 
 
 def _buckets(df: DataFrame, buckets: int) -> DataFrame:
-    df = df.withColumn("tokens", _features(F.col("text")))
-    df = df.withColumn("crcs", F.transform("tokens", lambda w: F.crc32(w)))
+    """Adds the bucket numbers of all unigrams and bigrams of word endings; reads the words in ``ws``."""
+    df = df.withColumn("crcs", F.transform("ws", lambda w: F.crc32(F.substring(w, -3, 3))))
     pairs = F.zip_with(F.expr("slice(crcs, 1, greatest(size(crcs) - 1, 0))"), F.expr("slice(crcs, 2, greatest(size(crcs) - 1, 0))"), lambda a, b: (a * 31 + b) % buckets)
-    return df.withColumn("buckets", F.concat(F.transform("crcs", lambda c: c % buckets), pairs)).drop("tokens", "crcs")
+    return df.withColumn("buckets", F.concat(F.transform("crcs", lambda c: c % buckets), pairs)).drop("crcs")
 
 
 def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
@@ -50,7 +46,7 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most: int = TRUSTED) -> list[int]:
     """The model: ``buckets`` log ratios in thousandths, with add-one smoothing."""
     good = F.broadcast(trusted_ids(labels, most).withColumn("good", F.lit(1)))  # of ``most`` rows at most
-    rows = _buckets(docs.select("doc_id", "text").join(good, "doc_id", "left").select("good", "text"), buckets)
+    rows = _buckets(docs.select("doc_id", "text").join(good, "doc_id", "left").select("good", words_column(F.col("text")).alias("ws")), buckets)
     # The outer form: explode() would have the optimizer infer a filter that computes the array several times.
     counts = rows.select("good", F.explode_outer("buckets").alias("b")).where("b is not null").groupBy("b").agg(F.count("*").alias("raw"), F.count("good").alias("own"))
     got = counts.collect()  # of ``buckets`` rows at most
@@ -63,11 +59,12 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most:
 
 
 def base_counts(df: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of the column ``text``."""
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; reads ``text`` and its words in ``ws``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = df.withColumn("ws", words_column(F.col("text"))).withColumn("n_words", F.size("ws").cast("long"))
-    df = df.withColumn("word_chars", F.length(F.regexp_replace(text, "[ \\x09-\\x0D]+", "")).cast("long"))
-    df = df.withColumn("n_symbols", F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long"))
+    df = df.withColumn("n_words", F.size("ws").cast("long"))
+    df = df.withColumn("word_chars", F.aggregate("ws", F.lit(0).cast("long"), lambda s, w: s + F.length(w)))
+    symbols = F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long")
+    df = df.withColumn("n_symbols", F.when(text.rlike("[#*$%&|<>]"), symbols).otherwise(F.lit(0).cast("long")))
     df = df.withColumn("lines", F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^ \\x09-\\x0D]")))
     df = df.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
     df = df.withColumn("hs", F.transform("ws", lambda w: F.xxhash64(w))).drop("ws")
@@ -86,9 +83,11 @@ def base_counts(df: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD, buckets: int = BUCKETS, most_trusted: int = TRUSTED) -> DataFrame:
     """``docs`` with the base counts, base_failed, llr_sum, n_features and kept added."""
     model = F.expr(f"cast(split('{','.join(map(str, log_ratios(docs, labels, buckets, most_trusted)))}', ',') as array<int>)")
-    df = _buckets(docs, buckets).withColumn("n_features", F.size("buckets").cast("long"))
+    df = _buckets(docs.withColumn("ws", words_column(F.col("text"))), buckets).withColumn("n_features", F.size("buckets").cast("long"))
     df = df.withColumn("llr_sum", F.aggregate("buckets", F.lit(0).cast("long"), lambda s, b: s + F.element_at(model, b.cast("int") + 1))).drop("buckets")
-    return base_counts(df).withColumn("kept", ~F.col("base_failed") & (F.col("llr_sum") >= F.lit(threshold) * F.col("n_features")))
+    df = base_counts(df).withColumn("kept", ~F.col("base_failed") & (F.col("llr_sum") >= F.lit(threshold) * F.col("n_features")))
+    # A generator of one row: no filter on the verdict is pushed below it, which would compute the arrays many times over.
+    return df.select(*docs.columns, F.explode_outer(F.array(F.struct(*RESULTS))).alias("verdict_")).select(*docs.columns, *[F.col(f"verdict_.{c}").alias(c) for c in RESULTS])
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

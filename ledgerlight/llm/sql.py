@@ -10,7 +10,7 @@ with crc as (
   from (select unnest(range(256))::bigint as i)
 ),
 toks as (
-  select doc_id, list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([!-/:-@\\[-`{{-~]+)', ' \\1 ', 'g'), '[ \\x09-\\x0D]+'), lambda x: x <> '') as ts
+  select doc_id, list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x <> ''), lambda x: right(x, 3)) as ts
   from documents
 ),
 flat as (select doc_id, unnest(ts) as tok, generate_subscripts(ts, 1) as i from toks),
