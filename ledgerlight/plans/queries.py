@@ -1,4 +1,673 @@
 """Queries over the driver's tables, and the SQL each must equal."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import numbers as N
+from ..functions import periods as P
+from ..functions import routing as R
+from ..functions import tables as TB
+from ..functions import text as T
+from ..operators import chunking as C
+from ..operators import facts as FA
+from ..operators import graph as G
+from ..operators import metrics as M
+from ..operators import retrieval as RT
+from ..operators import temporal as TE
+from .bindings import METRICS_SQL, chunks, mentions, metrics, questions, table
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _like(patterns, column: str, sep: str = " or ") -> str:
+    quoted = [p.replace("'", "''") for p in patterns]
+    return "(" + sep.join(f"contains({column}, '{p}')" for p in quoted) + ")"
+
+
+def _count(patterns, column: str) -> str:
+    quoted = [p.replace("'", "''") for p in patterns]
+    return "(" + " + ".join(f"contains({column}, '{p}')::int" for p in quoted) + ")"
+
+
+# ------------------------------------------------------------------ periods and numbers
+
+
+@query("""select o_orderkey, year(o_orderdate + interval 9 month)::int as fy, quarter(o_orderdate - interval 3 month)::int as fq,
+  quarter(o_orderdate - interval 3 month)::int as sort_index from orders""")
+def q_fiscal_period(spark, sf_dir: str) -> DataFrame:
+    d = F.to_date("o_orderdate")
+    q = P.fiscal_quarter(d)
+    return table(spark, sf_dir, "orders").select("o_orderkey", P.fiscal_year(d).alias("fy"), q.alias("fq"), P.quarter_index(F.concat(F.lit("Q"), q)).alias("sort_index"))
+
+
+@query(f"""with m as ({METRICS_SQL}), q as (select distinct fy, fq from m), s as (select fy, fq, unnest([-4, -1, 1, 5]) as step from q)
+  select fy, fq, step, floor((fy * 4 + fq - 1 + step) / 4)::int as to_fy, ((fy * 4 + fq - 1 + step) % 4 + 1)::int as to_fq from s""")
+def q_adjacent_period(spark, sf_dir: str) -> DataFrame:
+    own = metrics(spark, sf_dir).select("fy", "fq").distinct().withColumn("step", F.explode(F.array(*map(F.lit, (-4, -1, 1, 5)))))
+    fy, fq = P.shift(F.col("fy"), F.col("fq"), F.col("step"))
+    return own.select("fy", "fq", "step", fy.alias("to_fy"), fq.alias("to_fq"))
+
+
+@query("""with r as (select event_id, case event_id % 5 when 0 then '(' || (event_id % 997)::varchar || ')' when 1 then (event_id % 89)::varchar || '%'
+    when 2 then 'n/a' when 3 then '1,' || lpad((event_id % 1000)::varchar, 3, '0') else json_extract_string(props, '$.k') end as raw from events)
+  select event_id, raw, case event_id % 5 when 0 then -(event_id % 997)::double when 2 then null else try_cast(replace(replace(raw, ',', ''), '%', '') as double) end as value,
+    case when event_id % 5 = 0 then '-' || (event_id % 997) when event_id % 5 = 2 then null else replace(replace(raw, ',', ''), '%', '') end as cell,
+    case when event_id % 5 = 1 then '%' end as unit from r""")
+def q_parse_numeric(spark, sf_dir: str) -> DataFrame:
+    i, k = F.col("event_id"), F.col("event_id") % 5
+    raw = F.when(k == 0, F.concat(F.lit("("), (i % 997).cast("string"), F.lit(")"))).when(k == 1, F.concat((i % 89).cast("string"), F.lit("%"))).when(k == 2, "n/a")
+    raw = raw.when(k == 3, F.concat(F.lit("1,"), F.lpad((i % 1000).cast("string"), 3, "0"))).otherwise(F.get_json_object("props", "$.k"))
+    rows = table(spark, sf_dir, "events").select("event_id", raw.alias("raw")).withColumn("c", N.parse_cell(F.col("raw")))
+    return rows.select("event_id", "raw", N.parse_numeric(F.col("raw")).alias("value"), F.col("c.value").alias("cell"), F.col("c.unit").alias("unit"))
+
+
+@query("""select doc_id, coalesce(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '-?\\d[\\d,]*\\.?\\d*%?'), lambda x: replace(x, ',', '')))), ';'), '') as numbers from documents""")
+def q_number_extract(spark, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(N.number_set(F.col("text"))), ";").alias("numbers"))
+
+
+_PAIRS_SQL = """with g as (select o_orderkey as k, [o_orderkey::varchar, o_custkey::varchar, (o_orderkey % 7)::varchar] as truth, [o_orderkey::varchar, (o_custkey + o_orderkey % 2)::varchar, (o_orderkey % 5)::varchar] as pred from orders),
+  d as (select k, list_distinct(truth) as truth, list_distinct(pred) as pred from g), m as (select k, truth, pred, len(list_intersect(truth, pred)) as hit from d)"""
+
+
+def _pairs(spark, sf_dir: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    s = lambda x: x.cast("string")
+    return table(spark, sf_dir, "orders").select(k.alias("k"), F.array_distinct(F.array(s(k), s(c), s(k % 7))).alias("truth"), F.array_distinct(F.array(s(k), s(c + k % 2), s(k % 5))).alias("pred"))
+
+
+@query(_PAIRS_SQL + """ select k, round(hit / len(pred), 6) as precision, round(hit / len(truth), 6) as recall,
+  round(case when hit > 0 then 2.0 * hit / (len(pred) + len(truth)) else 0 end, 6) as f1, hit = len(truth) and len(truth) = len(pred) as exact from m""")
+def q_numeric_prf(spark, sf_dir: str) -> DataFrame:
+    got = N.precision_recall(F.col("pred"), F.col("truth"))
+    return _pairs(spark, sf_dir).select("k", *[(v if n == "exact" else F.round(v, 6)).alias(n) for n, v in got.items()])
+
+
+@query(_PAIRS_SQL + """ select k, list_bool_and(list_transform(truth, lambda g: list_bool_or(list_transform(pred,
+  lambda p: abs(g::double - p::double) <= 0.01 * greatest(abs(g::double), abs(p::double)))))) as within from m""")
+def q_tolerance(spark, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("k", N.within_tolerance(F.col("pred"), F.col("truth")).alias("within"))
+
+
+# ------------------------------------------------------------------ companies
+
+
+_KEY = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({}), '\\([^)]*\\)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), '\\b(limited|ltd|incorporated|inc|corp|corporation|company|co)\\b', ' ', 'g'), '[^a-z0-9]', '', 'g')"
+
+
+@query(f"select c_custkey, {_KEY.format(chr(34) + 'n' + chr(34))} as key from (select c_custkey, c_name || ' (Group) Co. Ltd' as n from customer)")
+def q_company_norm(spark, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", T.company_key(F.concat("c_name", F.lit(" (Group) Co. Ltd"))).alias("key"))
+
+
+@query("""with k as (select n_nationkey, regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') as a from nation), w as (select unnest(['Nation Limited', 'NATION_1', 'india', '']) as name),
+  x as (select name, regexp_replace(regexp_replace(lower(name), '\\blimited\\b', ' ', 'g'), '[^a-z0-9]', '', 'g') as b from w)
+  select name, n_nationkey from x join k on a <> '' and b <> '' and (contains(a, b) or contains(b, a))""")
+def q_company_match(spark, sf_dir: str) -> DataFrame:
+    # Names are matched once on the few distinct companies; facts are then joined by equality.
+    wanted = spark.range(1).select(F.explode(F.array(*map(F.lit, ("Nation Limited", "NATION_1", "india", "")))).alias("name"))
+    own = table(spark, sf_dir, "nation").select("n_nationkey", T.company_key(F.col("n_name")).alias("a"))
+    return own.join(F.broadcast(wanted.withColumn("b", T.company_key(F.col("name")))), T.same_company(F.col("a"), F.col("b"))).select("name", "n_nationkey")
+
+
+# ------------------------------------------------------------------ chains
+
+
+@query(f"""with m as ({METRICS_SQL}), q as (select distinct company, fy, fq from m)
+  select company, fy, fq, lead(fy) over w as next_fy, lead(fq) over w as next_fq from q window w as (partition by company order by fy, fq)""")
+def q_quarter_chain(spark, sf_dir: str) -> DataFrame:
+    return TE.quarter_chain(metrics(spark, sf_dir))
+
+
+@query(f"""with m as ({METRICS_SQL}), q as (select distinct company, fy, fq from m) select a.company, a.fy, a.fq, b.fy as prev_fy from q a join q b on a.company = b.company and a.fq = b.fq and a.fy = b.fy + 1""")
+def q_same_quarter_last_year(spark, sf_dir: str) -> DataFrame:
+    return TE.same_quarter_last_year(metrics(spark, sf_dir))
+
+
+@query(f"""with m as ({METRICS_SQL}), l as (select *, lag(fy) over w as prev_fy, lag(fq) over w as prev_fq, lag(value) over w as prev_value from m window w as (partition by company, name order by fy, fq))
+  select company, name, fy, fq, round(value, 2) as value, prev_fy, prev_fq, round(prev_value, 2) as prev_value, round(value - prev_value, 2) as delta,
+    round(case when prev_value <> 0 then (value - prev_value) / abs(prev_value) * 100 end, 4) as percent_change,
+    case when fy = prev_fy and fq = prev_fq + 1 then 'QoQ' when fy = prev_fy + 1 and fq = prev_fq then 'YoY' else 'sequential' end as change_type from l where prev_fy is not null""")
+def q_metric_evolution(spark, sf_dir: str) -> DataFrame:
+    r = TE.evolution(metrics(spark, sf_dir))
+    return r.select("company", "name", "fy", "fq", F.round("value", 2).alias("value"), "prev_fy", "prev_fq", F.round("prev_value", 2).alias("prev_value"), F.round("delta", 2).alias("delta"), F.round("percent_change", 4).alias("percent_change"), "change_type")
+
+
+@query(f"""with m as ({METRICS_SQL}) select a.company, a.name, a.fy, a.fq, round(a.value, 2) as value, round(b.value, 2) as prev_value, round(a.value - b.value, 2) as delta,
+  round((a.value - b.value) / abs(b.value) * 100, 4) as percent_change from m a join m b using (company, name, fq) where a.fy = b.fy + 1""")
+def q_metric_yoy(spark, sf_dir: str) -> DataFrame:
+    r = TE.year_on_year(metrics(spark, sf_dir))
+    return r.select("company", "name", "fy", "fq", F.round("value", 2).alias("value"), F.round("prev_value", 2).alias("prev_value"), F.round("delta", 2).alias("delta"), F.round("percent_change", 4).alias("percent_change"))
+
+
+@query("select * from (select event_id as id, user_id as company, event_type as topic, lead(event_id) over (partition by user_id, event_type order by ts, event_id) as next_id from events) where next_id is not null")
+def q_guidance_chain(spark, sf_dir: str) -> DataFrame:
+    return TE.mention_chain(mentions(spark, sf_dir), "topic", "at").drop("at")
+
+
+@query("""select id, company, kind, next_id from (select event_id as id, user_id as company, lower(substr(event_type, 1, 3)) as kind,
+  lead(event_id) over (partition by user_id, lower(substr(event_type, 1, 3)) order by ts, event_id) as next_id from events) where next_id is not null""")
+def q_risk_chain(spark, sf_dir: str) -> DataFrame:
+    rows = mentions(spark, sf_dir).withColumn("kind", F.lower(F.substring("topic", 1, 3))).drop("topic")
+    return TE.mention_chain(rows, "kind", "at").drop("at")
+
+
+@query("""with e as (select event_id as id, lead(event_id) over (partition by user_id, event_type order by ts, event_id) as next_id from events)
+  select next_id as id, id as prev_id from e where next_id is not null""")
+def q_continuity(spark, sf_dir: str) -> DataFrame:
+    rows = mentions(spark, sf_dir)
+    return TE.continuity(rows.select("id"), TE.mention_chain(rows, "topic", "at").select("id", "next_id"))
+
+
+@query(f"""with m as ({METRICS_SQL}), l as (select *, lag(value) over w as prev_value, lead(value) over w as next_value from m window w as (partition by company, name order by fy, fq))
+  select l.company, l.name, l.fy, l.fq, round(l.value, 2) as value, round(prev_value, 2) as prev_value, round(next_value, 2) as next_value, round(m.value, 2) as yoy_value
+  from l left join m on l.company = m.company and l.name = m.name and l.fq = m.fq and l.fy = m.fy + 1""")
+def q_temporal_triple(spark, sf_dir: str) -> DataFrame:
+    r = TE.temporal_triple(metrics(spark, sf_dir))
+    return r.select("company", "name", "fy", "fq", *[F.round(c, 2).alias(c) for c in ("value", "prev_value", "next_value", "yoy_value")])
+
+
+# ------------------------------------------------------------------ look-ups and facts
+
+
+@query("""with m as (select l_orderkey * 10 + l_linenumber as id, l_linenumber as page, l_returnflag as name, year(l_shipdate + interval 9 month)::int as fy, quarter(l_shipdate - interval 3 month)::int as fq from lineitem),
+  w as (select 'r' as w, 1998 as fy, 2 as fq union all select 'A', 1999, 4)
+  select id, page, name, fy, fq, rn from (select m.*, row_number() over (partition by name, m.fy, m.fq order by page, id)::int as rn from m join w using (fy, fq) where lower(name) = lower(w)) where rn <= 200""")
+def q_period_lookup(spark, sf_dir: str) -> DataFrame:
+    d = F.to_date("l_shipdate")
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_linenumber").alias("page"), F.col("l_returnflag").alias("name"), P.fiscal_year(d).alias("fy"), P.fiscal_quarter(d).alias("fq"))
+    wanted = spark.sql("select * from values ('r', 1998, 2), ('A', 1999, 4) as t(name, fy, fq)")
+    return FA.period_lookup(wanted, rows).select("id", "page", "name", "fy", "fq", "rn")
+
+
+@query("""with f as (select p_brand as brand, p_size as size, 1 as tier, p_type as value from part where p_type like '%STEEL' union all select p_brand, p_size, 2, p_type from part where p_type like 'STANDARD%'),
+  t as (select *, min(tier) over (partition by brand, size) as low from f) select brand, size, min(value) as value from t where tier = low group by brand, size having count(distinct value) = 1""")
+def q_broad_lookup_single_value(spark, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.col("p_type").alias("value"))
+    tiers = part.where(F.col("value").endswith("STEEL")).withColumn("tier", F.lit(1)).union(part.where(F.col("value").startswith("STANDARD")).withColumn("tier", F.lit(2)))
+    return FA.single_valued(FA.lowest_tier(tiers, ["brand", "size"]), ["brand", "size"])
+
+
+_FACTS_SQL = """select user_id as question_id, case event_type when 'click' then 'metric' when 'view' then 'entity' when 'purchase' then 'guidance' when 'signup' then 'risk' else 'sentiment' end as category,
+  lpad(event_id::varchar, 9, '0') as fact from events"""
+
+
+def _facts(spark, sf_dir: str) -> DataFrame:
+    cat = FA.quota_case(F.col("event_type"), [("click", "metric"), ("view", "entity"), ("purchase", "guidance"), ("signup", "risk")], "sentiment")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("question_id"), cat.alias("category"), F.lpad(F.col("event_id").cast("string"), 9, "0").alias("fact"))
+
+
+@query(f"""with f as ({_FACTS_SQL}), p as (select *, case category when 'metric' then 0 when 'entity' then 1 when 'sentiment' then 2 when 'guidance' then 3 else 4 end as pr,
+    case category when 'metric' then 6 when 'entity' then 2 else 1 end as quota, row_number() over (partition by question_id, category order by fact) as c from f),
+  s as (select *, row_number() over (partition by question_id order by (c > quota)::int, pr, fact)::int as pos from p) select question_id, category, fact, pos from s where pos <= 10""")
+def q_fact_select(spark, sf_dir: str) -> DataFrame:
+    return FA.select_facts(_facts(spark, sf_dir))
+
+
+@query("""with c as (select n_name as company, c_custkey as chunk_id, c_mktsegment as question_id, c_acctbal as score from customer join nation on c_nationkey = n_nationkey),
+  n as (select question_id, count(distinct company) as n from c group by 1), r as (select c.*, 7 * least(n, 2) as total, greatest(2, 7 * least(n, 2) // n) as share,
+    row_number() over (partition by question_id, company order by score desc, chunk_id) as k from c join n using (question_id)),
+  p as (select *, row_number() over (partition by question_id order by (k > share)::int, score desc, chunk_id)::int as pos from r) select question_id, company, chunk_id, score, pos from p where pos <= total""")
+def q_fair_cap(spark, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.select(F.col("c_mktsegment").alias("question_id"), F.col("n_name").alias("company"), F.col("c_custkey").alias("chunk_id"), F.col("c_acctbal").alias("score"))
+    return RT.fair_cap(rows, 7).select("question_id", "company", "chunk_id", "score", "pos")
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem l where not exists (select 1 from lineitem r where r.l_returnflag = 'R' and r.l_partkey = l.l_partkey and r.l_suppkey = l.l_suppkey) and l.l_returnflag <> 'R'""")
+def q_prefer_recovered(spark, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    return FA.prefer_recovered(rows.where("l_returnflag <> 'R'"), rows.where("l_returnflag = 'R'"), ["l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query("""with f as (select l_orderkey, l_linenumber, l_partkey, case l_returnflag when 'A' then 'consolidated' when 'R' then 'standalone' end as kind from lineitem),
+  h as (select *, max((kind = 'consolidated')::int) over (partition by l_partkey) as has from f) select l_orderkey, l_linenumber, l_partkey, kind from h where coalesce(has, 0) = 0 or kind is null or kind = 'consolidated'""")
+def q_resolve_kind(spark, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("l_returnflag") == "A", "consolidated").when(F.col("l_returnflag") == "R", "standalone")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", kind.alias("kind"))
+    return FA.resolve_kind(rows, ["l_partkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "kind")
+
+
+@query("""with f as (select c_custkey as id, c_mktsegment as k, c_nationkey::varchar || '-' || (c_custkey % 50)::varchar || '.' as fact from customer)
+  select k, fact, id from (select *, row_number() over (partition by k, regexp_replace(lower(fact), '[^a-z0-9]', '', 'g') order by id) as rn from f) where rn = 1""")
+def q_fact_dedupe(spark, sf_dir: str) -> DataFrame:
+    fact = F.concat(F.col("c_nationkey").cast("string"), F.lit("-"), (F.col("c_custkey") % 50).cast("string"), F.lit("."))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("k"), fact.alias("fact"))
+    return FA.first_per_signature(rows, ["k"], "fact", ["id"]).select("k", "fact", "id")
+
+
+@query("""select s_suppkey, label, quarter, case when label in ('col_3', 'Q4 FY204') then true else false end as bad, label in ('Half year ended', 'previous year') as other_window,
+    label in ('Q2 FY26', '30-Jun-23', 'Sep 30, 2025', 'Q4 FY204') as shaped, label in ('Q2 FY26', 'Sep 30, 2025') and quarter <> 'Q2' or label = 'Q4 FY204' and false as contradicts
+  from (select s_suppkey, ['col_3', 'Q4 FY204', 'Half year ended', 'previous year', 'Q2 FY26', '30-Jun-23', 'Sep 30, 2025', '30 Sep 2025'][s_suppkey % 8 + 1] as label, 'Q' || (s_suppkey % 3 + 1)::varchar as quarter from supplier)""")
+def q_period_guards(spark, sf_dir: str) -> DataFrame:
+    labels = F.array(*map(F.lit, ("col_3", "Q4 FY204", "Half year ended", "previous year", "Q2 FY26", "30-Jun-23", "Sep 30, 2025", "30 Sep 2025")))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.get(labels, (F.col("s_suppkey") % 8).cast("int")).alias("label"), F.concat(F.lit("Q"), (F.col("s_suppkey") % 3 + 1).cast("string")).alias("quarter"))
+    label = F.col("label")
+    return rows.select("s_suppkey", "label", "quarter", P.bad_label(label).alias("bad"), P.window_mismatch(F.col("quarter"), label).alias("other_window"), P.looks_like_period(label).alias("shaped"), P.contradicts(F.col("quarter"), F.lit("2026"), label).alias("contradicts"))
+
+
+# ------------------------------------------------------------------ retrieval
+
+
+_TOKS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+
+
+@query(f"select doc_id, len({_TOKS})::int as n_tokens, len(list_distinct({_TOKS}))::int as n_distinct from documents")
+def q_tokens(spark, sf_dir: str) -> DataFrame:
+    t = T.tokens(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"))
+
+
+@query(f"select term, count(*) as df, sum(tf)::bigint as tf from (select doc_id, term, count(*) as tf from (select doc_id, unnest({_TOKS}) as term from documents) group by all) group by term")
+def q_doc_freq(spark, sf_dir: str) -> DataFrame:
+    posts, _ = RT.bm25_statistics(chunks(spark, sf_dir))
+    return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+_BM25 = f"""t as (select doc_id, {_TOKS} as t from documents), p as (select doc_id, any_value(len(t)) as dl, term, count(*) as tf from (select doc_id, t, unnest(t) as term from t) group by doc_id, term),
+  tot as (select count(*) as n, avg(len(t)) as avgdl from t), df as (select term, count(*) as df from p group by term), raw as (select term, ln(n - df + 0.5) - ln(df + 0.5) as idf from df, tot),
+  idf as (select term, case when idf < 0 then 0.25 * (select avg(idf) from raw) else idf end as idf from raw),
+  qs as (select item_id as question_id, term, count(*) as qn from (select item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from benchmark) group by all),
+  b as (select question_id, doc_id as chunk_id, sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as bm25 from p join qs using (term) join idf using (term), tot group by all),
+  bn as (select question_id, chunk_id, case when max(bm25) over (partition by question_id) > 0 then bm25 / max(bm25) over (partition by question_id) else bm25 end as bm25 from b)"""
+
+
+@query(f"with {_BM25} select question_id, chunk_id, rank, round(bm25, 6) as bm25 from (select *, row_number() over (partition by question_id order by round(bm25, 8) desc, chunk_id)::int as rank from bn) where rank <= 7")
+def q_bm25_topk(spark, sf_dir: str) -> DataFrame:
+    scores = RT.normalised(RT.bm25_scores(questions(spark, sf_dir), chunks(spark, sf_dir)), "bm25").withColumn("score", F.round("bm25", 8))
+    return RT.top_k(scores, 7).select("question_id", "chunk_id", "rank", F.round("bm25", 6).alias("bm25"))
+
+
+_DOT = "list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::double * b.embedding[i]::double))"
+_DENSE = f"""v as (select vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) as norm, label from embeddings),
+  d as (select a.vec_id as question_id, b.vec_id as chunk_id, b.label, {_DOT} / (a.norm * b.norm) as dense from v a, v b where a.vec_id % 50 = 0)"""
+
+
+def _dense(spark, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("q_vec"))
+    return RT.dense_scores(asked, v.select(F.col("vec_id").alias("chunk_id"), "embedding"))
+
+
+@query(f"with {_DENSE} select question_id, chunk_id, rank, round(dense, 6) as dense from (select *, row_number() over (partition by question_id order by round(dense, 8) desc, chunk_id)::int as rank from d) where rank <= 7")
+def q_dense_topk(spark, sf_dir: str) -> DataFrame:
+    return RT.top_k(_dense(spark, sf_dir).withColumn("score", F.round("dense", 8)), 7).select("question_id", "chunk_id", "rank", F.round("dense", 6).alias("dense"))
+
+
+_HYBRID = f"""{_DENSE}, {_BM25.replace("item_id as question_id", "doc_id as question_id").replace("select item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from benchmark", "select doc_id, unnest(" + _TOKS + ") as term from documents where doc_id % 50 = 0")},
+  h as (select d.question_id, d.chunk_id, d.label, 0.9 * dense + 0.1 * coalesce(bm25, 0) as score from d left join bn using (question_id, chunk_id))"""
+
+
+def _hybrid(spark, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("question_id"), F.col("text").alias("question"))
+    sparse = RT.normalised(RT.bm25_scores(asked, chunks(spark, sf_dir)), "bm25")
+    return _dense(spark, sf_dir).join(sparse, ["question_id", "chunk_id"], "left").withColumn("score", RT.blend(F.col("dense"), F.col("bm25")))
+
+
+@query(f"with {_HYBRID} select question_id, chunk_id, rank, round(score, 6) as score from (select *, row_number() over (partition by question_id order by round(score, 8) desc, chunk_id)::int as rank from h) where rank <= 7")
+def q_hybrid_topk(spark, sf_dir: str) -> DataFrame:
+    rows = _hybrid(spark, sf_dir).withColumn("score", F.round("score", 8))
+    return RT.top_k(rows, 7).select("question_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"""with {_HYBRID}, hb as (select question_id, chunk_id, round(score * case when question_id % 100 = 0 then case label % 3 when 0 then 1.15 when 1 then 1.05 else 0.85 end else case label % 3 when 0 then 0.9 when 1 then 0.95 else 1.15 end end, 8) as s from h)
+  select question_id, chunk_id, rank, round(s, 6) as score from (select *, row_number() over (partition by question_id order by s desc, chunk_id)::int as rank from hb) where rank <= 20 and s >= 0""")
+def q_hybrid_boosted(spark, sf_dir: str) -> DataFrame:
+    kinds = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.get(F.array(*map(F.lit, ("table", "text", "audio"))), F.col("label") % 3).alias("kind"))
+    rows = _hybrid(spark, sf_dir).join(kinds, "chunk_id")
+    rows = rows.withColumn("score", F.round(F.col("score") * RT.type_boost(F.col("kind"), F.col("question_id") % 100 == 0), 8))
+    return RT.top_k(rows, 20).where("score >= 0").select("question_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+_SIG = "left(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), 300)"
+
+
+@query(f"select source as question_id, doc_id as chunk_id from (select *, {_SIG} as sig, row_number() over (partition by source, {_SIG} order by n_chars desc, doc_id) as rn from documents) where rn = 1 or sig = ''")
+def q_near_dup(spark, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("question_id"), F.col("doc_id").alias("chunk_id"), "text", F.col("n_chars").alias("score"))
+    return RT.collapse_near_duplicates(rows).select("question_id", "chunk_id")
+
+
+@query(f"select sig, count(*) as n, min(doc_id) as first_doc from (select doc_id, {_SIG} as sig from documents) group by sig")
+def q_signature_groups(spark, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy(T.signature(F.col("text")).alias("sig")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+_RANKED_SQL = f"with {_DENSE}, r as (select *, case when label in (3, 7) then 'audio' else 'text' end as kind, ((chunk_id * 7919) % 1000 - 500) / 1000.0 as structural, row_number() over (partition by question_id order by round(dense, 8) desc, chunk_id)::int as rank from d)"
+
+
+def _ranked(spark, sf_dir: str) -> DataFrame:
+    kinds = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.when(F.col("label").isin(3, 7), "audio").otherwise("text").alias("kind"))
+    rows = _dense(spark, sf_dir).join(kinds, "chunk_id").withColumn("score", F.round("dense", 8)).withColumn("structural", ((F.col("chunk_id") * 7919) % 1000 - 500) / 1000.0)
+    return RT.top_k(rows, 1 << 30)
+
+
+@query(_RANKED_SQL + """, s as (select *, row_number() over (partition by question_id, kind order by rank) as o, greatest(sum((kind = 'audio' and rank <= 7)::int) over (partition by question_id), least(2, sum((kind = 'audio')::int) over (partition by question_id))) as slots from r)
+  select question_id, chunk_id, kind, rank from s where case when kind = 'audio' then o <= slots else o <= 7 - slots end""")
+def q_min_slots(spark, sf_dir: str) -> DataFrame:
+    return RT.reserve_slots(_ranked(spark, sf_dir), 7, least=2).select("question_id", "chunk_id", "kind", "rank")
+
+
+@query(_RANKED_SQL + """, s as (select *, row_number() over (partition by question_id, rank > 5 order by structural desc, chunk_id) as s from r), g as (select *, case when rank <= 5 then 0 when structural > 0 and s <= 10 then 1 else 2 end as seg from s),
+  p as (select *, row_number() over (partition by question_id order by seg, case when seg = 1 then s else rank end)::int as pos from g) select question_id, chunk_id, rank, pos from p where pos <= 30""")
+def q_expand_pool(spark, sf_dir: str) -> DataFrame:
+    return RT.expand_pool(_ranked(spark, sf_dir)).where("pos <= 30").select("question_id", "chunk_id", "rank", "pos")
+
+
+@query(_RANKED_SQL + """, p as (select * from r where rank <= 30), m as (select *, min(dense) over w as dl, max(dense) over w as dh, min(structural) over w as sl, max(structural) over w as sh from p window w as (partition by question_id))
+  select question_id, chunk_id, round(0.5 * case when dh > dl then (dense - dl) / (dh - dl) else 0.5 end + 0.5 * case when sh > sl then (structural - sl) / (sh - sl) else 0.5 end, 6) as score from m""")
+def q_minmax_blend(spark, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("question_id")
+    rows = _ranked(spark, sf_dir).where("rank <= 30")
+    return rows.select("question_id", "chunk_id", F.round(0.5 * N.min_max(F.col("dense"), w) + 0.5 * N.min_max(F.col("structural"), w), 6).alias("score"))
+
+
+@query(_RANKED_SQL + """, m as (select question_id, i, avg(x::double) as m from (select question_id, unnest(e.embedding) as x, generate_subscripts(e.embedding, 1) as i from r join embeddings e on chunk_id = vec_id where rank <= 5) group by all)
+  select question_id, (i - 1)::int as i, round(m / sqrt(sum(m * m) over (partition by question_id)), 6) as x from m""")
+def q_seed_centroid(spark, sf_dir: str) -> DataFrame:
+    vec = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
+    return RT.seed_centroid(_ranked(spark, sf_dir), vec).select("question_id", F.posexplode("centroid").alias("i", "x")).select("question_id", "i", F.round("x", 6).alias("x"))
+
+
+_STATE = "case when doc_id % 4 = 0 then text || ' Standalone results' when doc_id % 4 = 1 then 'Statement of consolidated audited financial results ' || text when doc_id % 4 = 2 then text || ' standalone and consolidated' else text end"
+
+
+def _stated(spark, sf_dir: str) -> DataFrame:
+    k, t = F.col("doc_id") % 4, F.col("text")
+    s = F.when(k == 0, F.concat(t, F.lit(" Standalone results"))).when(k == 1, F.concat(F.lit("Statement of consolidated audited financial results "), t)).when(k == 2, F.concat(t, F.lit(" standalone and consolidated"))).otherwise(t)
+    return table(spark, sf_dir, "documents").select("doc_id", "source", s.alias("text"))
+
+
+@query(f"""select doc_id, case when a and not b then 'Standalone' when b and not a then 'Consolidated' end as kind, case doc_id % 4 when 0 then 'standalone' when 1 then 'consolidated' end as heading
+  from (select doc_id, regexp_matches(t, '(?i)\\bstandalone\\b') as a, regexp_matches(t, '(?i)\\bconsolidated\\b') as b from (select doc_id, {_STATE} as t from documents))""")
+def q_statement_type(spark, sf_dir: str) -> DataFrame:
+    return _stated(spark, sf_dir).select("doc_id", T.statement_type(F.col("text")).alias("kind"), T.statement_heading(F.col("text")).alias("heading"))
+
+
+@query(f"""with k as (select doc_id, source, regexp_matches(t, '(?i)\\bstandalone\\b') and not regexp_matches(t, '(?i)\\bconsolidated\\b') as opposite from (select doc_id, source, {_STATE} as t from documents)),
+  g as (select *, bool_or(not opposite) over (partition by source) as any_kept from k) select source, doc_id from g where not opposite or not any_kept""")
+def q_statement_fallback(spark, sf_dir: str) -> DataFrame:
+    keep = F.coalesce(T.statement_type(F.col("text")) != "Standalone", F.lit(True))
+    return RT.filter_with_fallback(_stated(spark, sf_dir), keep, ("source",)).select("source", "doc_id")
+
+
+# ------------------------------------------------------------------ questions
+
+
+_ASK = """select conv_id, turn, text || ['', ' what was revenue and eps in Q2 FY26', ' why did management highlight the outlook', ' compare net profit yoy vs Q1 FY25', ' total disbursement'][(turn % 5)::int + 1] as q from conversations"""
+
+
+def _asked(spark, sf_dir: str) -> DataFrame:
+    tails = F.array(*map(F.lit, ("", " what was revenue and eps in Q2 FY26", " why did management highlight the outlook", " compare net profit yoy vs Q1 FY25", " total disbursement")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("text", F.get(tails, (F.col("turn") % 5).cast("int"))).alias("q"))
+
+
+@query(f"""with a as ({_ASK}), s as (select conv_id, turn, {_count(R.PDF_WORDS, 'lower(q)')} as pdf_score, {_count(R.AUDIO_WORDS, 'lower(q)')} as audio_score, {_like(R.COMPARISON_WORDS, 'lower(q)')} as is_comparison, {_like(R.TEMPORAL_WORDS, 'lower(q)')} as is_temporal from a)
+  select *, case when pdf_score > 0 and audio_score > 0 then 'both' when pdf_score > audio_score then 'pdf' when audio_score > pdf_score then 'audio' else 'both' end as source_filter from s""")
+def q_route(spark, sf_dir: str) -> DataFrame:
+    got = R.route(F.col("q"))
+    return _asked(spark, sf_dir).select("conv_id", "turn", *[v.alias(k) for k, v in got.items() if k != "is_numeric"])
+
+
+_NW, _QW = T.NUMERIC_WORDS.replace("'", "''"), T.QUALITATIVE_WORDS.replace("'", "''")
+
+
+@query(f"with a as ({_ASK}) select conv_id, turn, len(regexp_extract_all(lower(q), '{_NW}')) > len(regexp_extract_all(lower(q), '{_QW}')) as is_numeric from a")
+def q_numeric_intent(spark, sf_dir: str) -> DataFrame:
+    return _asked(spark, sf_dir).select("conv_id", "turn", T.is_numeric_question(F.col("q")).alias("is_numeric"))
+
+
+_NAMES = ", ".join(f"case when contains(lower(q), '{n}') then '{m}' end" for n, m in R.METRIC_NAMES)
+
+
+@query(f"""with a as ({_ASK}), n as (select conv_id, turn, q, list_filter([{_NAMES}], lambda x: x is not null) as l from a), u as (select conv_id, turn, q, list_filter(l, lambda x, i: list_position(l, x) = i) as l from n)
+  select conv_id, turn, coalesce(array_to_string(l, ';'), '') as names, case when contains(lower(q), 'trend') or len(list_distinct(regexp_extract_all(lower(q), '\\bq[1-4]\\b'))) >= 3 then 24
+    when {_like(R.TEMPORAL_WORDS, 'lower(q)')} and len(list_distinct(regexp_extract_all(lower(q), '\\bq[1-4]\\b'))) >= 2 then 16 else 10 end as budget from u""")
+def q_metric_names(spark, sf_dir: str) -> DataFrame:
+    return _asked(spark, sf_dir).select("conv_id", "turn", F.array_join(R.metric_names(F.col("q")), ";").alias("names"), R.fact_budget(F.col("q")).alias("budget"))
+
+
+# ------------------------------------------------------------------ cleaning
+
+
+_VARIED = "text || ['', ' Table of Contents', ' Email: a@b.c  CIN : L12345MH2000PLC123456 Registered Office: x', ' Independent Auditor review report', ' debenture trustee security cover', ' Balance sheet'][(doc_id % 6)::int + 1]"
+
+
+def _varied(spark, sf_dir: str) -> DataFrame:
+    tails = F.array(*map(F.lit, ("", " Table of Contents", " Email: a@b.c  CIN : L12345MH2000PLC123456 Registered Office: x", " Independent Auditor review report", " debenture trustee security cover", " Balance sheet")))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", F.concat("text", F.get(tails, (F.col("doc_id") % 6).cast("int"))).alias("text"))
+
+
+_BLOCK = T.BOILERPLATE_BLOCK.replace("'", "''")
+
+
+@query(f"""select doc_id, length(t) <= 600 and {_like(T.BOILERPLATE_MARKERS, 'lower(t)')} as chunk, length(t) <= 300 and len(regexp_extract_all(t, '{_BLOCK}')) >= 2 as block from (select doc_id, {_VARIED} as t from documents)""")
+def q_boilerplate(spark, sf_dir: str) -> DataFrame:
+    return _varied(spark, sf_dir).select("doc_id", T.is_boilerplate_chunk(F.col("text")).alias("chunk"), T.is_boilerplate_block(F.col("text")).alias("block"))
+
+
+@query("select doc_id, length(trim(text)) as n from documents where length(trim(text)) >= 30")
+def q_short_chunks(spark, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(F.trim("text")).cast("long").alias("n")).where("n >= 30")
+
+
+_SCORES = [(n, _count(w, "lower(t)")) for n, w in T.PAGE_TYPES]
+_BEST = f"greatest({', '.join(s for _, s in _SCORES)})"
+
+
+@query(f"""select doc_id, case {' '.join(f"when {s} = {_BEST} and {_BEST} >= 2 then '{n}'" for n, s in _SCORES)} else 'financial_statement' end as page_type from (select doc_id, {_VARIED} as t from documents)""")
+def q_page_type(spark, sf_dir: str) -> DataFrame:
+    return _varied(spark, sf_dir).select("doc_id", T.page_type(F.col("text")).alias("page_type"))
+
+
+_BLOCKS = "select conv_id as doc, turn // 2 as page, turn as pos, role as text from conversations"
+
+
+def _blocks(spark, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.floor(F.col("turn") / 2).cast("long").alias("page"), F.col("turn").alias("pos"), F.col("role").alias("text"))
+
+
+@query(f"""with b as ({_BLOCKS}), e as (select *, pos = min(pos) over w or pos = max(pos) over w as edge from b window w as (partition by doc, page)), p as (select doc, count(distinct page) as pages from b group by doc),
+  bad as (select doc, text from e join p using (doc) where edge group by doc, text, pages having count(distinct page) >= greatest(2, pages // 2)) select doc, page, pos, text from b where not exists (select 1 from bad where bad.doc = b.doc and bad.text = b.text)""")
+def q_header_footer(spark, sf_dir: str) -> DataFrame:
+    return C.repeated_edges(_blocks(spark, sf_dir)).select("doc", "page", "pos", "text")
+
+
+@query("""with h as (select conv_id, turn, role = 'user' as h, case when role = 'user' then left(text, 20) end as heading from conversations)
+  select conv_id, turn, coalesce(last_value(heading ignore nulls) over w, 'Unknown') as heading, (sum(h::int) over w)::bigint as group_no from h window w as (partition by conv_id order by turn rows unbounded preceding)""")
+def q_heading_ffill(spark, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("role") == "user").alias("is_heading"), F.when(F.col("role") == "user", F.substring("text", 1, 20)).alias("heading"))
+    return C.heading_groups(C.carry_forward(rows, "heading", ["conv_id"], ["turn"]), ["conv_id"], ["turn"]).drop("is_heading")
+
+
+_SECTION = " ".join(f"when contains(lower(t), '{w}') then '{n}'" for w, n in T.SECTIONS)
+
+
+@query(f"""with s as (select source, doc_id, case {_SECTION} end as section from (select source, doc_id, {_VARIED} as t from documents))
+  select source, doc_id, coalesce(last_value(section ignore nulls) over (partition by source order by doc_id rows unbounded preceding), 'Unknown') as section from s""")
+def q_section_ffill(spark, sf_dir: str) -> DataFrame:
+    return C.carry_forward(_varied(spark, sf_dir).select("source", "doc_id", T.section_of(F.col("text")).alias("section")), "section", ["source"], ["doc_id"])
+
+
+def _clean_sql(x: str) -> str:
+    for bad, good in T.MOJIBAKE:
+        x = f"replace({x}, '{bad.replace(chr(39), chr(39) * 2)}', '{good.replace(chr(39), chr(39) * 2)}')"
+    x = f"regexp_replace({x}, 'â€.', '', 'g')"
+    for p in T.NOISE:
+        x = f"regexp_replace({x}, '(?i){p}', '', 'g')"
+    return f"trim(regexp_replace(regexp_replace({x}, '[ \\t]+', ' ', 'g'), '\\n\\s*\\n+', chr(10) || chr(10), 'g'))"
+
+
+@query(f"select doc_id, md5({_clean_sql('t')}) as digest from (select doc_id, {_VARIED} as t from documents)")
+def q_clean_text(spark, sf_dir: str) -> DataFrame:
+    return _varied(spark, sf_dir).select("doc_id", F.md5(F.encode(T.clean_evidence(F.col("text")), "utf-8")).alias("digest"))
+
+
+@query(f"""select conv_id, turn, case when regexp_matches(lower(t), '{T.OPERATOR_SAYS}') then 'Operator' when regexp_matches(lower(t), '{T.ANALYST_SAYS}') then 'Analyst' end as speaker
+  from (select conv_id, turn, text || ['', ' Please go ahead.', ' Thanks for the opportunity'][(turn % 3)::int + 1] as t from conversations)""")
+def q_speaker_role(spark, sf_dir: str) -> DataFrame:
+    tails = F.array(*map(F.lit, ("", " Please go ahead.", " Thanks for the opportunity")))
+    rows = table(spark, sf_dir, "conversations").withColumn("t", F.concat("text", F.get(tails, (F.col("turn") % 3).cast("int"))))
+    return rows.select("conv_id", "turn", T.speaker_role(F.col("t")).alias("speaker"))
+
+
+@query("select conv_id as doc, turn // 4 as page, string_agg(text, ' ' order by turn) as page_text from conversations group by all")
+def q_page_text(spark, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.floor(F.col("turn") / 4).cast("long").alias("page"), F.col("turn").alias("pos"), "text")
+    return C.page_text(rows)
+
+
+@query()
+def q_split_text(spark, sf_dir: str) -> DataFrame:
+    return C.split_text(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")))
+
+
+@query()
+def q_merge_segments(spark, sf_dir: str) -> DataFrame:
+    return C.merge_segments(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("call"), F.col("turn").alias("seq"), "text"))
+
+
+@query()
+def q_window_dedupe(spark, sf_dir: str) -> DataFrame:
+    return C.window_dedupe(_blocks(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ scores and summaries
+
+
+_RET = """with r as (select l_orderkey as k, list(l_partkey order by l_linenumber, l_partkey) as got, list_distinct(list(l_partkey) filter (l_linenumber % 2 = 0)) as truth, list(l_suppkey order by l_linenumber, l_suppkey) as other from lineitem group by 1)"""
+
+
+def _retrieved(spark, sf_dir: str) -> DataFrame:
+    packed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", c))), lambda s: s[c])
+    truth = F.array_distinct(F.collect_list(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey"))))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(packed("l_partkey").alias("got"), truth.alias("truth"), packed("l_suppkey").alias("other"))
+
+
+@query(_RET + """, t as (select k, list_slice(got, 1, 3) as got, coalesce(truth, []) as truth from r)
+  select k, case when len(truth) > 0 then list_has_any(got, truth)::int end as hit, round(case when len(truth) > 0 then len(list_intersect(got, truth)) / len(truth) end, 6) as recall,
+    round(coalesce(1.0 / list_min(list_filter(list_transform(truth, lambda t: list_position(got, t)), lambda p: p > 0)), 0), 6) as mrr from t""")
+def q_hit_recall_mrr(spark, sf_dir: str) -> DataFrame:
+    rows = _retrieved(spark, sf_dir).withColumn("got", F.slice("got", 1, 3))
+    got, truth = F.col("got"), F.col("truth")
+    return rows.select("k", M.hit(got, truth).alias("hit"), F.round(M.recall(got, truth), 6).alias("recall"), F.round(M.reciprocal_rank(got, truth), 6).alias("mrr"))
+
+
+@query(_RET + " select k, round(len(list_intersect(got, coalesce(truth, []))) / len(got), 6) as precision from r")
+def q_context_precision(spark, sf_dir: str) -> DataFrame:
+    return _retrieved(spark, sf_dir).select("k", F.round(M.context_precision(F.col("got"), F.col("truth")), 6).alias("precision"))
+
+
+@query(_RET + " select k, round(len(list_intersect(got, other)) / len(list_distinct(list_concat(got, other))), 6) as jaccard from r")
+def q_jaccard(spark, sf_dir: str) -> DataFrame:
+    return _retrieved(spark, sf_dir).select("k", F.round(M.jaccard(F.col("got"), F.col("other")), 6).alias("jaccard"))
+
+
+@query("""with e as (select doc_id, replace(text, ',', '') as flat, [(doc_id % 10)::varchar, (doc_id % 100)::varchar || '%', '20'] as truth from documents)
+  select doc_id, round(len(list_filter(truth, lambda g: contains(flat, replace(g, '%', '')))) / 3, 6) as share from e""")
+def q_evidence_sufficiency(spark, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    truth = F.array((k % 10).cast("string"), F.concat((k % 100).cast("string"), F.lit("%")), F.lit("20"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(N.sufficiency(F.col("text"), truth), 6).alias("share"))
+
+
+@query("select item_id, doc_id from benchmark b join documents d on contains(d.text, b.text)")
+def q_provenance_exact(spark, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("evidence"))
+    if items.count() > RT.MOST_QUESTIONS:
+        raise ValueError("search the evidence in blocks")
+    return table(spark, sf_dir, "documents").join(F.broadcast(items), F.col("text").contains(F.col("evidence"))).select("item_id", "doc_id")
+
+
+@query("""select coalesce(case when grouping(source) = 1 then 'ALL' else source end, 'none') as bucket, count(*) as n, round(avg(n_chars), 6) as n_chars, round(avg(quality), 6) as quality, round(avg(toxic), 6) as toxic
+  from documents left join labels using (doc_id) group by rollup (source)""")
+def q_bucket_summary(spark, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    out = M.bucket_summary(rows, "source", ["n_chars", "quality", "toxic"])
+    return out.select(F.coalesce("source", F.lit("none")).alias("bucket"), "n", *[F.round(c, 6).alias(c) for c in ("n_chars", "quality", "toxic")])
+
+
+@query("select quality, toxic, count(*) as n from labels group by all")
+def q_crosstab(spark, sf_dir: str) -> DataFrame:
+    return M.crosstab(table(spark, sf_dir, "labels"), "quality", "toxic")
+
+
+# ------------------------------------------------------------------ tables and graph
+
+
+@query("""with t as (select c_custkey as table_id, c_mktsegment as title, c_acctbal from customer), c as (select table_id, 0 as row_no, 'Balance' as name, c_acctbal as v, 'Q1 FY24' as period from t
+    union all select table_id, 1, 'Margin', table_id % 50, 'Q2 FY24' from t)
+  select table_id, row_no::int as row_no, name, period, case when row_no = 0 then replace(printf('%.2f', v), ' ', '') else (v::int)::varchar end as value, case when row_no = 1 then '%' else 'Crore INR' end as unit from c""")
+def q_table_unpivot(spark, sf_dir: str) -> DataFrame:
+    money = F.col("c_acctbal").cast("decimal(18,2)").cast("string")
+    percent = F.concat((F.col("c_custkey") % 50).cast("string"), F.lit(" %"))
+    rows = F.array(F.array(F.lit("Balance"), money, F.lit("-")), F.array(F.lit(" "), F.lit(""), F.lit("")), F.array(F.lit("Margin"), F.lit("n/a"), percent), F.array(F.lit("Notes"), F.lit("1"), F.lit("2")))
+    t = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("table_id"), F.concat("c_mktsegment", F.lit(" Rs. in crore")).alias("title"), F.array(*map(F.lit, ("Particulars", "Q1 FY24", "Q2 FY24"))).alias("headers"), rows.alias("rows"))
+    return TB.unpivot(t).select("table_id", "row_no", "name", "period", "value", "unit")
+
+
+@query("select distinct a.l_suppkey as left_id, b.l_suppkey as right_id from lineitem a join lineitem b on a.l_partkey = b.l_partkey and year(a.l_shipdate) = year(b.l_shipdate) where a.l_returnflag = 'A' and b.l_returnflag = 'R'")
+def q_entity_crosslink(spark, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", F.year("l_shipdate").alias("y"), "l_returnflag")
+    side = lambda flag, name: rows.where(F.col("l_returnflag") == flag).select(F.col("l_suppkey").alias(name), "l_partkey", "y")
+    return G.crosslink(side("A", "left_id"), side("R", "right_id"), ["l_partkey", "y"])
+
+
+@query("select user_id, event_type, arg_max(event_id, (ts, event_id)) as event_id, round(arg_max(value, (ts, event_id)), 6) as value from events group by all")
+def q_upsert_last_wins(spark, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value", F.struct("ts", "event_id").alias("load_seq"))
+    old, new = rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1")
+    return G.upsert(old, new, ["user_id", "event_type"]).select("user_id", "event_type", "event_id", F.round("value", 6).alias("value"))
+
+
+@query("select user_id, arg_max(event_type, (ts, event_id)) as sentiment from events group by user_id")
+def q_latest_sentiment(spark, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("sentiment"))
+
+
+@query("select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R')")
+def q_resume_antijoin(spark, sf_dir: str) -> DataFrame:
+    done = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey").join(done, "o_orderkey", "left_anti")
+
+
+@query("""with h as (select distinct o_custkey as node from orders where o_orderpriority like '1%'), o as (select distinct o_orderkey as node from orders join h on o_custkey = h.node) select distinct l_partkey as node from lineitem join o on l_orderkey = o.node""")
+def q_two_hops(spark, sf_dir: str) -> DataFrame:
+    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    edges = orders.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("o"), "o_orderkey").alias("dst")).union(items.select(F.concat(F.lit("o"), "l_orderkey"), F.concat(F.lit("p"), "l_partkey")))
+    seeds = orders.where("o_orderpriority like '1%'").select(F.concat(F.lit("c"), "o_custkey").alias("node"))
+    return G.neighbours(edges, seeds, 2).select(F.substring("node", 2, 20).cast("long").alias("node"))
+
+
+@query()
+def q_fastrp(spark, sf_dir: str) -> DataFrame:
+    edges = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
+    return G.fast_rp(edges, dim=32)
+
+
+@query()
+def q_answer_offline(spark, sf_dir: str) -> DataFrame:
+    from .answer import answers
+
+    return answers(spark, sf_dir)
+
+
+@query()
+def q_ablation(spark, sf_dir: str) -> DataFrame:
+    from .answer import ablation
+
+    return ablation(spark, sf_dir)
