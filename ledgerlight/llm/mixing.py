@@ -94,7 +94,7 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     rates = solve_rates(cells, targets, most)
     per = targets.join(rates.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2").withColumnRenamed("source", "src")
     rows = sized.join(per, F.col("source").eqNullSafe(F.col("src"))).drop("src")
-    rate = F.least(F.exp(F.least(F.col("multiplier") * F.col("size") / F.col("mean"), F.lit(5.0))), F.lit(float(most)))
+    rate = F.least(F.exp(F.least(F.col("multiplier") * F.col("size") / F.nullif(F.col("mean"), F.lit(0.0)), F.lit(5.0))), F.lit(float(most)))
     rate = F.when((F.col("size") > 0) & (F.col("target") >= most * F.col("source_size")), F.lit(float(most))).when((F.col("size") > 0) & (F.col("target") <= 0), F.lit(0.0)).otherwise(rate)
     rows = rows.withColumn("rate", F.round(F.coalesce(rate, F.lit(1.0)), 6)).withColumn("whole", F.floor("rate").cast("long"))
     # The order in which fractions are filled, as a whole number of 24 bits.

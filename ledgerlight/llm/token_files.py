@@ -33,7 +33,7 @@ LENGTH = 2_048
 END_ID = 0
 _LAST = np.iinfo(np.int64).max
 _CUT = re.compile(r"(?<=[!-~\w])(?= )")
-_UNSURE = re.compile(r"[^!-~\w] ")
+_UNSURE = re.compile(r" (?<=[^!-~\w] )")
 _STATE: dict = {}
 
 
@@ -53,37 +53,65 @@ class Encoder:
     """The tokenizer with a bounded memo of pieces.
 
     Byte-level pre-tokens never join a space to what stands before it, so a text may be cut before any space that follows
-    a letter, digit or ASCII sign; a piece's ids do not hang on its neighbours.
+    a letter, digit or ASCII sign; a piece's ids do not hang on its neighbours. Unknown pieces are encoded many at a time
+    as one text and told apart by their tokens' lengths in bytes.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        # A byte-level vocabulary writes each byte as one character.
+        self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
         self.memo: dict[str, bytes] = {}
         self.most = most
 
     def pieces(self, text: str) -> list[str]:
-        if _UNSURE.search(text) or text.startswith(" "):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        """The text up to the first cut, then the pieces without the space each begins with."""
+        if text.startswith(" ") or _UNSURE.search(text):
+            first, *rest = _CUT.split(text)
+            return [first, *[x[1:] for x in rest]]
+        return text.split(" ")
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        memo = self.memo
+        # White space at a piece's end would join the next one's space; special tokens have widths of their own.
+        plain = [p for p in pieces if p and not p[-1].isspace() and "<|" not in p]
+        odd = list(set(pieces).difference(plain))
+        for a in range(0, len(odd), 10_000):
+            memo.update(zip(odd[a : a + 10_000], self._each([" " + p for p in odd[a : a + 10_000]]), strict=True))
+        groups = [plain[a : a + 1_000] for a in range(0, len(plain), 1_000)]
+        found = self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, found, strict=True):
+            ids = np.array(e.ids, self.dtype)
+            ends = np.cumsum(self.width[ids])
+            cut = np.cumsum([len(p.encode()) + 1 for p in group])
+            at = np.searchsorted(ends, cut)
+            if not np.array_equal(ends[np.minimum(at, len(ends) - 1)], cut):
+                raise ValueError("the tokenizer joins pieces")
+            raw, size = ids.tobytes(), self.dtype.itemsize
+            stops = ((at + 1) * size).tolist()
+            memo.update(zip(group, [raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian numbers."""
         cut = [self.pieces(t) for t in texts]
-        memo = self.memo
-        new = list({p for ps in cut for p in ps}.difference(memo))
-        if len(memo) + len(new) > self.most:
-            memo.clear()
-            new = list({p for ps in cut for p in ps})
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                memo[p] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join([memo[p] for p in ps]) for ps in cut]
+        heads = self._each([c[0] for c in cut])
+        rests = [c[1:] for c in cut]
+        every = set().union(*rests)
+        new = every.difference(self.memo)
+        if len(self.memo) + len(new) > self.most:
+            self.memo.clear()
+            new = every
+        self._learn(list(new))
+        get = self.memo.__getitem__
+        return [head + b"".join(map(get, rest)) for head, rest in zip(heads, rests, strict=True)]
 
 
 def _encoder(path: str) -> Encoder:
