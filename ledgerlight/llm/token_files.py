@@ -57,7 +57,7 @@ class Encoder:
     as one text and told apart by their tokens' lengths in bytes.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -67,6 +67,7 @@ class Encoder:
         # A byte-level vocabulary writes each byte as one character.
         self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.most = most
 
     def pieces(self, text: str) -> list[str]:
@@ -101,17 +102,22 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian numbers."""
+        if len(self.memo) > self.most:  # what is used again comes back from the older half; the rest goes
+            self.old, self.memo = self.memo, {}
         cut = [self.pieces(t) for t in texts]
         heads = self._each([c[0] for c in cut])
-        rests = [c[1:] for c in cut]
-        every = set().union(*rests)
-        new = every.difference(self.memo)
-        if len(self.memo) + len(new) > self.most:
-            self.memo.clear()
-            new = every
-        self._learn(list(new))
-        get = self.memo.__getitem__
-        return [head + b"".join(map(get, rest)) for head, rest in zip(heads, rests, strict=True)]
+        get = self.memo.get
+        parts = [list(map(get, c)) for c in cut]
+        holes = [[i for i, x in enumerate(p) if x is None and i] for p in parts]
+        missing = {c[i] for c, h in zip(cut, holes, strict=True) for i in h}
+        for piece in missing.intersection(self.old):
+            self.memo[piece] = self.old[piece]
+        self._learn(list(missing.difference(self.memo)))
+        for c, p, h, head in zip(cut, parts, holes, heads, strict=True):
+            p[0] = head
+            for i in h:
+                p[i] = get(c[i])
+        return [b"".join(p) for p in parts]
 
 
 def _encoder(path: str) -> Encoder:
