@@ -1 +1,71 @@
+"""Sources and sinks: chunk JSON, ground truth, results, reports."""
 
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+CHUNK = (
+    "chunk_id string, chunk_type string, source_type string, document_name string, source_file_hash string, processed_at string, page int, page_type string, heading string, "
+    "section string, title string, headers array<string>, rows array<array<string>>, text string, embedding_text string, speaker string, start double, end double"
+)
+QUESTION = (
+    "id string, question string, answer string, company string, year string, quarter string, modality string, metric string, unit string, statement_type string, "
+    "expected_numbers array<string>, expected_answer string, supporting_chunk_ids array<string>, supporting_documents array<string>, supporting_pages array<int>"
+)
+
+
+def read_chunks(spark: SparkSession, root: str) -> DataFrame:
+    """Chunk files (JSON arrays) under root/company=*/year=*/quarter=*, with an explicit schema; partitions are pruned by filters."""
+    rows = spark.read.schema(CHUNK + ", company string, year string, quarter string").option("multiLine", True).json(root)
+    return rows.withColumn("text", F.coalesce("text", "embedding_text"))
+
+
+def write_chunks(rows: DataFrame, root: str) -> None:
+    rows.write.mode("overwrite").partitionBy("company", "year", "quarter").json(root)
+
+
+def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
+    """Questions from files of one JSON array or several in a row; anything else, or no question, is an error."""
+
+    def split(batches):
+        import pandas as pd
+
+        decoder = json.JSONDecoder()
+        for pdf in batches:
+            out = []
+            for text in pdf["value"]:
+                at = 0
+                while at < len(text):
+                    if text[at].isspace():
+                        at += 1
+                        continue
+                    part, at = decoder.raw_decode(text, at)
+                    if not isinstance(part, list):
+                        raise ValueError("ground truth must be arrays")
+                    out += [json.dumps(x) for x in part]
+            yield pd.DataFrame({"j": out})
+
+    rows = spark.read.text(path, wholetext=True).mapInPandas(split, "j string").select(F.from_json("j", QUESTION).alias("q")).select("q.*")
+    if not rows.take(1):
+        raise ValueError("no questions")
+    return rows
+
+
+def pending_embeddings(chunks: DataFrame) -> DataFrame:
+    """Rows with text to embed and no vector yet."""
+    return chunks.where("embedding_text is not null and embedding is null")
+
+
+def resume(rows: DataFrame, done: DataFrame, keys=("question", "company", "quarter", "year")) -> DataFrame:
+    """Rows whose key is not among the finished ones."""
+    return rows.join(done.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def markdown_report(summary: DataFrame, columns: list[str]) -> str:
+    """A small summary (one row per bucket) as a Markdown table."""
+    show = lambda v: "n/a" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
+    rows = summary.select(*columns).limit(1000).collect()  # a report is small by nature
+    return "\n".join(["| " + " | ".join(columns) + " |", "|" + "-|" * len(columns), *("| " + " | ".join(show(r[c]) for c in columns) + " |" for r in rows)])
