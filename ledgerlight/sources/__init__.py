@@ -31,12 +31,12 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """Questions from files of one JSON array or several in a row; anything else, or no question, is an error."""
 
     def split(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         decoder = json.JSONDecoder()
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for text in pdf["value"]:
+            for text in batch.column(0).to_pylist():
                 at = 0
                 while at < len(text):
                     if text[at].isspace():
@@ -46,9 +46,9 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
                     if not isinstance(part, list):
                         raise ValueError("ground truth must be arrays")
                     out += [json.dumps(x) for x in part]
-            yield pd.DataFrame({"j": out})
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["j"])
 
-    rows = spark.read.text(path, wholetext=True).mapInPandas(split, "j string").select(F.from_json("j", QUESTION).alias("q")).select("q.*")
+    rows = spark.read.text(path, wholetext=True).mapInArrow(split, "j string").select(F.from_json("j", QUESTION).alias("q")).select("q.*")
     if not rows.take(1):
         raise ValueError("no questions")
     return rows
