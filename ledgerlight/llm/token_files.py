@@ -15,8 +15,10 @@ their text's hash; equal rows are interchangeable. An empty table gives no docum
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,6 +36,8 @@ END_ID = 0
 _LAST = np.iinfo(np.int64).max
 _CUT = re.compile(r"(?<=[!-~\w])(?= )")
 _UNSURE = re.compile(r" (?<=[^!-~\w] )")
+#: A piece whose pre-tokens are plain: a word, signs (no apostrophe, which may begin a contraction), perhaps a further line's.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)(?:\n([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*))?")
 _STATE: dict = {}
 
 
@@ -49,12 +53,20 @@ def open_fs(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri)
 
 
+def _byte_letters() -> dict[int, str]:
+    """How a byte-level vocabulary writes each byte: visible Latin-1 as itself, the others from U+0100 on in their order."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Encoder:
     """The tokenizer with a bounded memo of pieces.
 
     Byte-level pre-tokens never join a space to what stands before it, so a text may be cut before any space that follows
-    a letter, digit or ASCII sign; a piece's ids do not hang on its neighbours. Unknown pieces are encoded many at a time
-    as one text and told apart by their tokens' lengths in bytes.
+    a letter, digit or ASCII sign; a piece's ids do not hang on its neighbours. An unknown piece of plain pre-tokens is put
+    together from theirs, so that a word known without its comma is not merged again. Other unknown pieces are encoded many
+    at a time as one text and told apart by their tokens' lengths in bytes.
     """
 
     def __init__(self, path: str, most: int = 350_000):
@@ -69,6 +81,14 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.most = most
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        cutter = parts.get("pre_tokenizer") or {}
+        self.composes = cutter.get("type") == "ByteLevel" and cutter.get("use_regex") is True and not cutter.get("add_prefix_space") and not parts.get("normalizer")
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.signs: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         """The text up to the first cut, then the pieces without the space each begins with."""
@@ -80,8 +100,45 @@ class Encoder:
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pre_token(self, text: str, before: str = "") -> bytes:
+        """The ids of one pre-token, after ``before`` in the vocabulary's letters."""
+        if not text.isascii() or not text.isalpha():
+            text = text.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(before + text)]
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def _sign(self, text: str) -> bytes:
+        if len(text) > 3:  # the memo of signs has a bound
+            return self._pre_token(text)
+        if text not in self.signs:
+            self.signs[text] = self._pre_token(text)
+        return self.signs[text]
+
+    def _compose(self, pieces: list[str]) -> list[str]:
+        """Learn the plain pieces; the others come back."""
+        memo, old, others = self.memo, self.old, []
+        for piece in pieces:
+            m = _PLAIN.fullmatch(piece)
+            if m is None:
+                others.append(piece)
+                continue
+            word, signs, line, more = m.groups()
+            ids = memo.get(word) or old.get(word)
+            if ids is None:
+                ids = memo[word] = self._pre_token(word, self.letters[0x20])
+            if signs:
+                ids += self._sign(signs)
+            if line:
+                ids += self._sign("\n") + self._pre_token(line)
+                if more:
+                    ids += self._sign(more)
+            memo[piece] = ids
+        return others
+
     def _learn(self, pieces: list[str]) -> None:
         memo = self.memo
+        if self.composes:
+            pieces = self._compose(pieces)
         # White space at a piece's end would join the next one's space; special tokens have widths of their own.
         plain = [p for p in pieces if p and not p[-1].isspace() and "<|" not in p]
         odd = list(set(pieces).difference(plain))
