@@ -238,6 +238,12 @@ def test_tokens(spark, docs, rows, empty):
     enc = K.Encoder(K.default_tokenizer(), most=5)
     for x in ("a   b \n c", "  lead", "x\t y", "don't <|endoftext|> z", "é » « q  r   ", " ", "a b c\x1c d"):
         assert np.frombuffer(enc.encode([x])[0], enc.dtype).tolist() == t.encode(x, add_special_tokens=False).ids
+    assert enc.composes  # pieces put together from pre-tokens have the ids of whole texts
+    parts = ["the", "Ñandú", "über,", "x", "don't", "O'Neil's", " ", "  ", "\n", "\n\n", "\t", ".", "...", "$$$$$", "<|endoftext|>", "<|", "²", "12", "3.5", "e\u0301", "мир", "漢字", "\u00a0", "a_b", "con.\nOs", "\r\n", "ª", "×", "’s", "👍"]
+    rng = np.random.default_rng(5)
+    for _ in range(3_000):
+        x = "".join(p + " " * rng.integers(2) for p in rng.choice(parts, rng.integers(1, 14)))
+        assert np.frombuffer(enc.encode([x])[0], enc.dtype).tolist() == t.encode(x, add_special_tokens=False).ids, x
     manifest = K.write_token_files(docs, fresh_dir(spark, "t"), length=64)
     ids, mask = K.sequence(manifest.orderBy("part").first().file, 0)
     assert len(ids) == 64 and mask.any()
