@@ -14,6 +14,11 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], seq: str = "load_seq"
     return last_per_key(old.unionByName(new), key, [F.col(seq)])
 
 
+def replace_relation(edges: DataFrame, rel: str, new: DataFrame) -> DataFrame:
+    """All edges (src, rel, dst) with those of one relation rebuilt from ``new`` (src, dst)."""
+    return edges.where(~F.col("rel").eqNullSafe(F.lit(rel))).unionByName(new.select("src", F.lit(rel).alias("rel"), "dst").distinct())
+
+
 def duplicate_keys(rows: DataFrame, key: list[str]) -> DataFrame:
     """Empty where the key is unique."""
     return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")

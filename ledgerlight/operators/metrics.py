@@ -41,6 +41,11 @@ def bucket_summary(rows: DataFrame, bucket: str, columns: list[str]) -> DataFram
     return out.withColumn(bucket, F.when(F.col("all_") == 1, "ALL").otherwise(F.col(bucket))).drop("all_")
 
 
+def merge_reports(left: DataFrame, right: DataFrame, bucket: str, rename: dict[str, str] | None = None) -> DataFrame:
+    """Two summaries side by side per bucket; buckets of one side stay. ``rename`` maps the right side's columns."""
+    return left.join(right.withColumnsRenamed(rename or {}), bucket, "full_outer")
+
+
 def throughput(latency: Column) -> Column:
     return 1 / F.nullif(latency, F.lit(0.0))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import sources as S
 from ..functions import numbers as N
 from ..functions import periods as P
 from ..functions import routing as R
@@ -606,9 +607,34 @@ def q_crosstab(spark, sf_dir: str) -> DataFrame:
     return M.crosstab(table(spark, sf_dir, "labels"), "quality", "toxic")
 
 
+@query("""with a as (select user_id % 7 as bucket, count(*) as n_click from events where event_type = 'click' group by 1), b as (select user_id % 11 as bucket, count(*) as n_other from events where event_type <> 'click' group by 1)
+  select bucket, n_click, n_other from a full join b using (bucket)""")
+def q_report_merge(spark, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events")
+    own = rows.where("event_type = 'click'").groupBy((F.col("user_id") % 7).alias("bucket")).agg(F.count("*").alias("n_click"))
+    other = rows.where("event_type <> 'click'").groupBy((F.col("user_id") % 11).alias("bucket")).agg(F.count("*").alias("n"))
+    return M.merge_reports(own, other, "bucket", {"n": "n_other"})
+
+
 # ------------------------------------------------------------------ tables and graph
 
 
+@query("""select lang, count(*) as n, count(embedding) as n_embedded, count(case when text is not null and embedding is null then 1 end) as n_pending
+  from documents left join embeddings on doc_id = vec_id group by lang""")
+def q_index_sizes(spark, sf_dir: str) -> DataFrame:
+    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return S.index_sizes(docs.withColumnRenamed("text", "embedding_text").join(vectors, F.col("doc_id") == F.col("vec_id"), "left"), "lang")
+
+
+@query("""select o_custkey as src, 'OPEN' as rel, o_orderkey as dst from orders where o_orderstatus = 'O'
+  union all select distinct l_orderkey, 'HOLDS', l_partkey from lineitem where l_returnflag = 'N'""")
+def q_replace_relation(spark, sf_dir: str) -> DataFrame:
+    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    edges = orders.where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("src"), F.lit("OPEN").alias("rel"), F.col("o_orderkey").alias("dst"))
+    held = items.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), "l_returnflag")
+    return G.replace_relation(edges.unionByName(held.select("src", F.lit("HOLDS").alias("rel"), "dst")), "HOLDS", held.where("l_returnflag = 'N'"))
+
+
 @query("""with t as (select c_custkey as table_id, c_mktsegment as title, c_acctbal from customer), c as (select table_id, 0 as row_no, 'Balance' as name, c_acctbal as v, 'Q1 FY24' as period from t
     union all select table_id, 1, 'Margin', table_id % 50, 'Q2 FY24' from t)
   select table_id, row_no::int as row_no, name, period, case when row_no = 0 then replace(printf('%.2f', v), ' ', '') else (v::int)::varchar end as value, case when row_no = 1 then '%' else 'Crore INR' end as unit from c""")

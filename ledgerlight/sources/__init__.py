@@ -54,6 +54,39 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+#: Node label to (source_type, chunk_type).
+LABELS = {"Chunk": ("pdf", "text"), "Table": ("pdf", "table"), "AudioChunk": ("audio", "audio")}
+
+
+def with_label_kinds(nodes: DataFrame) -> DataFrame:
+    """Adds source_type and chunk_type from ``label``; other or null labels are unknown."""
+    kind = lambda i: F.coalesce(*[F.when(F.col("label") == k, v[i]) for k, v in LABELS.items()], F.lit("unknown"))
+    return nodes.withColumn("source_type", kind(0)).withColumn("chunk_type", kind(1))
+
+
+def by_kind(chunks: DataFrame) -> dict[str, DataFrame]:
+    """The chunks of each type; a row of another type fails whichever table is read."""
+    wrong = F.raise_error(F.concat(F.lit("unknown chunk_type: "), F.coalesce("chunk_type", F.lit("null"))))
+    kinds = [k for _, k in LABELS.values()]
+    return {kind: chunks.where(F.when(F.col("chunk_type").isin(*kinds), F.col("chunk_type") == kind).otherwise(wrong.cast("boolean"))) for kind in kinds}
+
+
+def roster(quarters: DataFrame) -> DataFrame:
+    """The distinct companies."""
+    return quarters.where("company is not null").select("company").distinct()
+
+
+def index_sizes(chunks: DataFrame, *keys: str) -> DataFrame:
+    """Rows, those with a vector and those that wait for one, per ``keys`` or over all."""
+    return chunks.groupBy(*keys).agg(F.count("*").alias("n"), F.count("embedding").alias("n_embedded"), F.count_if(F.expr("embedding_text is not null and embedding is null")).alias("n_pending"))
+
+
+def read_summaries(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """Rows of root/<experiment>/benchmark_summary.json with the experiment's name."""
+    rows = spark.read.schema(schema).option("multiLine", True).json(f"{root}/*/benchmark_summary.json")
+    return rows.withColumn("experiment", F.element_at(F.split(F.input_file_name(), "/"), -2))
+
+
 def pending_embeddings(chunks: DataFrame) -> DataFrame:
     """Rows with text to embed and no vector yet."""
     return chunks.where("embedding_text is not null and embedding is null")

@@ -27,3 +27,21 @@ def test_stream(spark, tmp_path):
     q = streaming.latest_mention(stream).writeStream.outputMode("complete").format("memory").queryName("latest").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r.id for r in spark.table("latest").collect()) == [18, 19]
+
+
+def test_kinds(spark):
+    nodes = spark.createDataFrame([("Chunk",), ("Table",), ("AudioChunk",), ("Other",), (None,)], "label string")
+    got = [(r.source_type, r.chunk_type) for r in S.with_label_kinds(nodes).collect()]
+    assert got == [("pdf", "text"), ("pdf", "table"), ("audio", "audio"), ("unknown", "unknown"), ("unknown", "unknown")]
+    good = spark.createDataFrame([("text", 1), ("audio", 2), ("text", 3)], "chunk_type string, id int")
+    assert {k: sorted(r.id for r in d.collect()) for k, d in S.by_kind(good).items()} == {"text": [1, 3], "table": [], "audio": [2]}
+    with pytest.raises(Exception, match="unknown chunk_type: video"):
+        S.by_kind(good.union(spark.createDataFrame([("video", 4)], good.schema)))["table"].collect()
+
+
+def test_summaries_and_roster(spark, tmp_path):
+    (tmp_path / "e1").mkdir()
+    (tmp_path / "e1" / "benchmark_summary.json").write_text('[{"bucket": "ALL", "hit": 0.5}, {"bucket": "pdf"}]')
+    got = S.read_summaries(spark, str(tmp_path), "bucket string, hit double").collect()
+    assert sorted((r.experiment, r.bucket, r.hit) for r in got) == [("e1", "ALL", 0.5), ("e1", "pdf", None)]
+    assert [r.company for r in S.roster(spark.createDataFrame([("X",), (None,), ("X",)], "company string")).collect()] == ["X"]
