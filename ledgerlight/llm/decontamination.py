@@ -33,8 +33,11 @@ LATENT, FULL = 0.8, 0.25
 #: Shares of a passage: near-verbatim; paraphrase, with its answer words.
 VERBATIM, PARAPHRASE, ANSWER = 0.75, 0.55, 0.75
 BLOCK_ITEMS, PASSAGE_WORDS, LEAST_WORDS = 1_024, 96, 8
-#: Words in more than this share of documents carry no weight.
-COMMON = 0.2
+#: Words in more than this share of documents carry no weight, save in hot passages: those whose words weigh so little that
+#: ``FULL`` would miss them in a window of rare words. These are searched once more, where a word has ``FLOOR`` of a rare word's
+#: weight at least.
+COMMON, FLOOR = 0.2, 0.5
+HOT = (FULL**2 * (WINDOW - LEAST_WORDS) / (LEAST_WORDS * (1 - FULL**2))) ** 0.5
 _PIECE = 1 << 20
 
 
@@ -57,6 +60,16 @@ class Passages:
         self.coarse = np.zeros(1 << 16, bool)
         self.coarse[(self.vocab & U64(0xFFFF)).astype(np.int64)] = True
 
+    def part(self, numbers: list[int]) -> tuple[Passages, np.ndarray]:
+        """Some of the passages with the vocabulary of these alone, and that vocabulary's numbers in the whole one."""
+        out = object.__new__(Passages)
+        old = np.unique(np.concatenate([self.words[i] for i in numbers]))
+        out.vocab = self.vocab[old]
+        out.item, out.words = [self.item[i] for i in numbers], [np.searchsorted(old, self.words[i]) for i in numbers]
+        out.coarse = np.zeros(1 << 16, bool)
+        out.coarse[(out.vocab & U64(0xFFFF)).astype(np.int64)] = True
+        return out, old
+
     def codes(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and numbers of the vocabulary's words among hashes."""
         may = np.flatnonzero(self.coarse[(h & U64(0xFFFF)).astype(np.int64)])
@@ -169,19 +182,16 @@ def _search(spark, docs: DataFrame, passages: Passages) -> DataFrame | None:
     if not passages.words:
         return None
     df, n_docs = document_frequencies(docs, passages)
-    idf = np.log((n_docs + 1) / (df + 1))
-    idf[df > np.maximum(COMMON * n_docs, 2)] = 0
-    rare = float(np.log((n_docs + 1) / 2))
-    if not idf.any():
-        idf[:] = rare = 1.0
-    vectors = (randomized_svd(spark, passages, idf) * idf[:, None]).astype(np.float32)
-    heavy = idf > 0
-    query = np.stack([vectors[w].sum(0) for w in passages.words])
-    query /= np.maximum(np.linalg.norm(query, axis=1, keepdims=True), 1e-9)
-    answers = []
-    for w in passages.words:
-        u = np.unique(w)
-        answers.append(u[np.lexsort((u, -idf[u]))][: max(3, len(u) // 6)])
+    rare = max(float(np.log((n_docs + 1) / 2)), 1.0)
+    true = np.log((n_docs + 1) / (df + 1))
+    cut = np.where(df > np.maximum(COMMON * n_docs, 2), 0, true)
+    hot = [bool(np.sqrt((cut[w] ** 2).mean()) < HOT * rare) for w in passages.words]
+    spaces = []
+    if cut.any():
+        spaces.append(_space(spark, passages, cut))
+    if any(hot):  # besides, not instead: what the first space finds stays found
+        some, old = passages.part(np.flatnonzero(hot).tolist())
+        spaces.append(_space(spark, some, np.maximum(true, FLOOR * rare)[old]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,83 +199,96 @@ def _search(spark, docs: DataFrame, passages: Passages) -> DataFrame | None:
             data, offs = utf8(batch.column(1))
             rows = []
             for a, b in chunks(offs, _PIECE):
-                rows += [(ids[a + d], *rest) for d, *rest in _piece(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])]
+                h, at = word_hashes(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+                best: dict[tuple, tuple] = {}
+                for space in spaces:
+                    _piece(h, at, rare, *space, best)
+                rows += [(ids[a + d], *rest) for d, *rest in best.values()]
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [f.split()[0] for f in _FIELDS.split(", ")])
 
-    def _piece(data: np.ndarray, offs: np.ndarray) -> list[tuple]:
-        h, at = word_hashes(data, offs)
-        place, code = passages.codes(h)
-        weigh = heavy[code]
-        key, kcode = place[weigh], code[weigh]
-        if not len(key):
-            return []
-        many = np.diff(at)
-        # Windows start at every STRIDE-th word of a text; those without a weighty word of the vocabulary match nothing.
-        first = np.searchsorted(at, key, "right") - 1
-        inside = key - at[first]
-        starts = []
-        for back in range(0, WINDOW, STRIDE):
-            s = inside // STRIDE * STRIDE - back
-            starts.append(np.where(s >= 0, at[first] + s, -1))
-        begin = np.unique(np.concatenate(starts))
-        begin = begin[begin >= 0]
-        doc = np.searchsorted(at, begin, "right") - 1
-        end = np.minimum(begin + WINDOW, at[doc + 1])
-        sums = np.zeros((len(key) + 1, vectors.shape[1]), np.float32)
-        np.cumsum(vectors[kcode], axis=0, out=sums[1:])
-        weight = np.full(len(h), rare * rare)
-        weight[place] = idf[code] ** 2
-        norms = np.append(0, np.cumsum(weight))
-        out: dict[tuple[int, int], list] = {}
-        for a in range(0, len(begin), 20_000):
-            s, e = begin[a : a + 20_000], end[a : a + 20_000]
-            z = sums[np.searchsorted(key, e)] - sums[np.searchsorted(key, s)]
-            length = np.linalg.norm(z, axis=1)
-            full = np.sqrt(np.maximum(norms[e] - norms[s], 1e-12))
-            good = np.flatnonzero(length >= FULL * full)  # the full cosine cannot be larger than this ratio
-            if not len(good):
-                continue
-            dots = z[good] @ query.T
-            w, p = np.nonzero((dots >= LATENT * length[good, None]) & (dots >= FULL * full[good, None]))
-            for i, j, cos in zip(good[w].tolist(), p.tolist(), (dots[w, p] / length[good[w]]).tolist(), strict=True):
-                out.setdefault((int(doc[a + i]), j), []).append((int(s[i]), int(e[i]), cos))
-        rows: dict[tuple, tuple] = {}
-        for (d, j), spans in out.items():
-            words, size = passages.words[j], len(passages.words[j])
-            lo, hi, best = None, None, 0.0
-            regions = []
-            for s, e, cos in sorted(spans):
-                if lo is not None and s <= hi + size:
-                    hi, best = max(hi, e), max(best, cos)
-                else:
-                    if lo is not None:
-                        regions.append((lo, hi, best))
-                    lo, hi, best = s, e, cos
-            regions.append((lo, hi, best))
-            for lo, hi, cos in regions:
-                # A region is read in overlapping stretches, so that words from far apart are not taken together.
-                lo, hi = max(lo - size, int(at[d])), min(hi + size, int(at[d + 1]))
-                for s in range(lo, max(hi - size, lo + 1), max(size // 2, 1)):
-                    e = min(s + 2 * size, hi)
-                    x, y = np.searchsorted(place, (s, e))
-                    near = code[x:y]
-                    share = lcs_length(words, near) / size
-                    if share < PARAPHRASE:
-                        continue
-                    answer = float(np.isin(answers[j], near).mean())
-                    if share >= VERBATIM or answer >= ANSWER:
-                        k = (d, passages.item[j])
-                        row = (d, passages.item[j], "verbatim" if share >= VERBATIM else "paraphrase", cos, share, answer, s - int(at[d]), e - int(at[d]))
-                        if k not in rows or row[4] > rows[k][4]:
-                            rows[k] = row
-        del many
-        return list(rows.values())
-
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, _FIELDS)
 
 
+def _space(spark, passages: Passages, idf: np.ndarray) -> tuple:
+    """Passages, word weights, word vectors, the passages' own vectors and their answer words."""
+    vectors = (randomized_svd(spark, passages, idf) * idf[:, None]).astype(np.float32)
+    query = np.stack([vectors[w].sum(0) for w in passages.words])
+    query /= np.maximum(np.linalg.norm(query, axis=1, keepdims=True), 1e-9)
+    answers = []
+    for w in passages.words:
+        u = np.unique(w)
+        answers.append(u[np.lexsort((u, -idf[u]))][: max(3, len(u) // 6)])
+    return passages, idf, vectors, query, answers
+
+
+def _piece(h: np.ndarray, at: np.ndarray, rare: float, passages: Passages, idf: np.ndarray, vectors: np.ndarray, query: np.ndarray, answers: list, rows: dict) -> None:
+    """The best row of each (document, item) among the words ``h`` of the texts at ``at``, into ``rows``."""
+    place, code = passages.codes(h)
+    weigh = idf[code] > 0
+    key, kcode = place[weigh], code[weigh]
+    if not len(key):
+        return
+    # Windows start at every STRIDE-th word of a text; those without a weighty word of the vocabulary match nothing.
+    first = np.searchsorted(at, key, "right") - 1
+    inside = key - at[first]
+    starts = []
+    for back in range(0, WINDOW, STRIDE):
+        s = inside // STRIDE * STRIDE - back
+        starts.append(np.where(s >= 0, at[first] + s, -1))
+    begin = np.unique(np.concatenate(starts))
+    begin = begin[begin >= 0]
+    doc = np.searchsorted(at, begin, "right") - 1
+    end = np.minimum(begin + WINDOW, at[doc + 1])
+    sums = np.zeros((len(key) + 1, vectors.shape[1]), np.float32)
+    np.cumsum(vectors[kcode], axis=0, out=sums[1:])
+    weight = np.full(len(h), rare * rare)
+    weight[place] = idf[code] ** 2
+    norms = np.append(0, np.cumsum(weight))
+    out: dict[tuple[int, int], list] = {}
+    for a in range(0, len(begin), 20_000):
+        s, e = begin[a : a + 20_000], end[a : a + 20_000]
+        z = sums[np.searchsorted(key, e)] - sums[np.searchsorted(key, s)]
+        length = np.linalg.norm(z, axis=1)
+        full = np.sqrt(np.maximum(norms[e] - norms[s], 1e-12))
+        good = np.flatnonzero(length >= FULL * full)  # the full cosine cannot be larger than this ratio
+        if not len(good):
+            continue
+        dots = z[good] @ query.T
+        w, p = np.nonzero((dots >= LATENT * length[good, None]) & (dots >= FULL * full[good, None]))
+        for i, j, cos in zip(good[w].tolist(), p.tolist(), (dots[w, p] / length[good[w]]).tolist(), strict=True):
+            out.setdefault((int(doc[a + i]), j), []).append((int(s[i]), int(e[i]), cos))
+    for (d, j), spans in out.items():
+        words, size = passages.words[j], len(passages.words[j])
+        lo, hi, best = None, None, 0.0
+        regions = []
+        for s, e, cos in sorted(spans):
+            if lo is not None and s <= hi + size:
+                hi, best = max(hi, e), max(best, cos)
+            else:
+                if lo is not None:
+                    regions.append((lo, hi, best))
+                lo, hi, best = s, e, cos
+        regions.append((lo, hi, best))
+        for lo, hi, cos in regions:
+            # A region is read in overlapping stretches, so that words from far apart are not taken together.
+            lo, hi = max(lo - size, int(at[d])), min(hi + size, int(at[d + 1]))
+            for s in range(lo, max(hi - size, lo + 1), max(size // 2, 1)):
+                e = min(s + 2 * size, hi)
+                x, y = np.searchsorted(place, (s, e))
+                near = code[x:y]
+                share = lcs_length(words, near) / size
+                if share < PARAPHRASE:
+                    continue
+                answer = float(np.isin(answers[j], near).mean())
+                if share >= VERBATIM or answer >= ANSWER:
+                    k = (d, passages.item[j])
+                    row = (d, passages.item[j], "verbatim" if share >= VERBATIM else "paraphrase", cos, share, answer, s - int(at[d]), e - int(at[d]))
+                    if k not in rows or row[4] > rows[k][4]:
+                        rows[k] = row
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark passage; rows with a null doc_id stay."""
     gone = contaminated(docs.select("doc_id", "text"), benchmark).select("doc_id").distinct()

@@ -278,6 +278,22 @@ def test_decontamination(spark, docs, rows, empty):
     assert D.clean_documents(d, b).count() == 61 + 30 - len({x for x, _ in got if 200 <= x < 300})
 
 
+@pytest.mark.parametrize(("n", "size"), [(300, 40), (300, 20), (10, 40)])
+def test_decontamination_of_a_passage_in_a_third_of_the_rows(spark, n, size):
+    rng = np.random.default_rng(5)
+    vocab = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(vocab, size))) for i in range(20)]
+    hot, cold = set(range(0, n, 3)), {1: 7}
+    rows = []
+    for k in range(n):
+        own = items[0][1] if k in hot else items[cold[k]][1] if k in cold else ""
+        rows.append((k, " ".join([*rng.choice(vocab, 60), own, *rng.choice(vocab, 50)])))
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(d, b).collect()}
+    assert got == {(k, 0) for k in hot} | set(cold.items())
+    assert D.clean_documents(d, b).count() == n - len(hot) - len(cold)
+
+
 def test_lcs():
     rng = np.random.default_rng(2)
     for _ in range(50):
