@@ -16,24 +16,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import materialize
+from .common import fresh_dir, materialize
 
 LIMIT = 4 << 20
 STEP = 12
 
 
-def hashed(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, bits): ``bits`` is the hash as a string of 128 binary digits, the second half from the row's place."""
+def hashed(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, bits): ``bits`` is the hash as a string of 128 binary digits, the second half from the row's place.
+
+    ``carry`` adds the whole row as ``row``."""
     h = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.coalesce("text", F.lit("")))
     place = F.xxhash64(F.monotonically_increasing_id(), F.lit(5))
     bits = F.concat(F.lpad(F.bin(h), 64, "0"), F.lpad(F.bin(place), 64, "0"))
-    return docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), bits.alias("bits"))
+    return docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), bits.alias("bits"), *([F.struct("*").alias("row")] if carry else []))
 
 
-def shards(docs: DataFrame, limit: int = LIMIT, step: int = STEP) -> DataFrame:
-    """(doc_id, n_bytes, shard, depth, shard_bytes, shard_docs, oversize); ``shard`` is the bucket's hash prefix."""
-    rows = materialize(hashed(docs), "hashes")
+def shards(docs: DataFrame, limit: int = LIMIT, step: int = STEP, carry: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, shard, depth, shard_bytes, shard_docs, oversize); ``shard`` is the bucket's hash prefix; ``carry`` adds the row."""
+    row = ["row"] if carry else []
+    rows = materialize(hashed(docs, carry), "hashes")
     live, depth, done = rows.withColumn("top", F.lit("")), 0, []
     while True:
         cells = live.groupBy("top", F.substring("bits", 1, depth + step).alias("cell")).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n"))
@@ -45,12 +49,12 @@ def shards(docs: DataFrame, limit: int = LIMIT, step: int = STEP) -> DataFrame:
         first = own.join(nodes, ["d", "node"]).where("fits").groupBy("cell").agg(F.min(F.struct("d", "node", "b", "n")).alias("s"))
         first = materialize(first.select(F.col("cell"), F.col("s.node").alias("shard"), F.col("s.d").alias("depth"), F.col("s.b").alias("shard_bytes"), F.col("s.n").alias("shard_docs")), "directory")
         placed = live.withColumn("cell", F.substring("bits", 1, depth + step)).join(first, "cell", "left")
-        done.append(placed.where("shard is not null").select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_docs"))
+        done.append(placed.where("shard is not null").select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_docs", *row))
         depth += step
         rest = placed.where("shard is null")
         if depth >= 120 or not cells.join(first, "cell", "left_anti").take(1):
             break
-        live = materialize(rest.select("doc_id", "n_bytes", "bits", F.substring("bits", 1, depth).alias("top")), "live")
+        live = materialize(rest.select("doc_id", "n_bytes", "bits", *row, F.substring("bits", 1, depth).alias("top")), "live")
     out = done[0]
     for more in done[1:]:
         out = out.union(more)
@@ -63,14 +67,23 @@ def directory(assigned: DataFrame) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, where: str, limit: int = LIMIT) -> DataFrame:
-    """Write all columns of ``docs`` as Parquet, one folder per shard; returns the directory."""
-    assigned = materialize(shards(docs, limit), "assigned")
-    keys = assigned.select(F.col("doc_id").alias("d_"), F.col("n_bytes").alias("b_"), "shard").distinct()
-    rows = docs.withColumn("b", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    rows = rows.join(keys.groupBy("d_", "b_").agg(F.min("shard").alias("shard")), rows["doc_id"].eqNullSafe(F.col("d_")) & (rows["b"] == F.col("b_"))).drop("b", "d_", "b_")
+    """Write all columns of ``docs`` as Parquet, one folder per shard; returns the directory of what was read back."""
+    rows = shards(docs, limit, carry=True).select("row.*", F.concat(F.lit("p"), "shard").alias("shard"))  # "" and 01 are no folder names
     rows.repartition("shard").write.partitionBy("shard").parquet(where)
-    return directory(assigned)
+    return directory(read_shards(docs, where, limit))
+
+
+def read_shards(docs: DataFrame, where: str, limit: int = LIMIT) -> DataFrame:
+    """The rows of shards() from the files of write_shards(): bytes and documents are those found in them."""
+    rows = docs.sparkSession.read.schema(StructType([*docs.schema, StructField("shard", StringType())])).parquet(where)
+    rows = rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.expr("substring(shard, 2)").alias("shard"))
+    sums = rows.groupBy("shard").agg(F.length("shard").alias("depth"), F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_docs"))
+    rows = rows.join(sums, "shard")
+    return rows.select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_docs", (F.col("shard_bytes") > limit).alias("oversize"))
 
 
 def op5_extendible_hashing(spark, sf_dir: str) -> DataFrame:
-    return shards(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    where = fresh_dir(spark, "shards") + "/rows"
+    write_shards(docs, where)
+    return read_shards(docs, where)

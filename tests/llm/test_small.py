@@ -278,6 +278,20 @@ def test_decontamination(spark, docs, rows, empty):
     assert D.clean_documents(d, b).count() == 61 + 30 - len({x for x, _ in got if 200 <= x < 300})
 
 
+def test_written_shards_of_repeated_and_null_id_rows(spark, empty):
+    rows = [(1, "a" * 10, "s", "x", 1)] * 40 + [(None, f"{i:010d}", "t", "y", 2) for i in range(40)] + [(k, "z" * 10, "u", None, k) for k in range(2, 42)]
+    d, where = spark.createDataFrame(rows, SCHEMA), fresh_dir(spark, "shards") + "/rows"
+    found = S.write_shards(d, where, 40).collect()
+    got = S.read_shards(d, where, 40).collect()
+    assert len(got) == len(rows) and max(r.shard_bytes for r in got) <= 40 and len(found) == len({r.shard for r in got})
+    by = collections.Counter(r.shard for r in got)
+    assert all(by[r.shard] == r.shard_docs and r.depth == len(r.shard) for r in found)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, spark.read.schema(SCHEMA).parquet(where).select(*d.columns).collect())) == sorted(map(key, rows))
+    one = fresh_dir(spark, "shards") + "/rows"
+    assert [r.shard for r in S.write_shards(d, one).collect()] == [""] and S.write_shards(empty, fresh_dir(spark, "shards") + "/rows").count() == 0
+
+
 @pytest.mark.parametrize(("n", "size"), [(300, 40), (300, 20), (10, 40)])
 def test_decontamination_of_a_passage_in_a_third_of_the_rows(spark, n, size):
     rng = np.random.default_rng(5)
