@@ -682,7 +682,7 @@ def q_two_hops(spark, sf_dir: str) -> DataFrame:
 @query()
 def q_fastrp(spark, sf_dir: str) -> DataFrame:
     edges = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
-    return G.fast_rp(edges, dim=32)
+    return G.fast_rp(edges)
 
 
 @query()

@@ -44,3 +44,7 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_fastrp_has_the_production_dimensions(spark, sf):
+    assert len(QUERIES["q_fastrp"](spark, sf).first()["vec"]) == 128
