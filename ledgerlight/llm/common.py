@@ -48,6 +48,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def block_count(spark: SparkSession, n_bytes: int, block_bytes: int = 256 << 20) -> int:
+    """Into how many blocks a corpus goes that workers hold whole: four a shuffle partition, more where these are too large."""
+    return max(4 * shuffle_partitions(spark), -(-n_bytes // block_bytes))
+
+
 def words_column(text):
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as an array, JVM-side; null or blank gives an empty array."""
     flat = F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, materialize, mix, shuffle_partitions, unzbytes, utf8, word_hashes, zbytes
+from .common import U64, block_count, chunks, materialize, mix, shuffle_partitions, unzbytes, utf8, word_hashes, zbytes
 from .components import connected_components
 
 _PIECE = 1 << 20
@@ -164,14 +164,24 @@ def _sets(t: pa.Table, width: int) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, chunk_tokens: int = 1_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row; links are Jaccard similarities of ``percent`` per cent or more."""
+    rows = docs.select("doc_id", text_hash(F.col("text")).alias("h"))
+    named = text_classes(docs, percent, width, chunk_tokens)
+    smallest = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    named = named.join(smallest, "c").select("h", F.col("n").alias("n_shingles"), "component_id")
+    return rows.join(named, "h").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def text_classes(docs: DataFrame, percent: int = 75, width: int = 5, chunk_tokens: int = 1_000_000) -> DataFrame:
+    """(h, doc_id, n, c): each distinct text's hash, its smallest doc_id, its number of shingles and its component."""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
-    bits = max(3, int(np.ceil(np.log2(max(n, 2)))))
-    blocks = 4 * n
-    rows = docs.select("doc_id", F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("h"), F.coalesce("text", F.lit("")).alias("text"))
-    firsts = rows.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
+    rows = docs.select("doc_id", text_hash(F.col("text")).alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    firsts = materialize(rows.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max(F.octet_length("text")).alias("n_bytes")), "reps")
+    # Blocks and buckets, which workers hold whole, grow in number with the bytes.
+    blocks = block_count(spark, firsts.agg(F.sum("n_bytes")).first()[0] or 0)
+    bits = max(3, int(np.ceil(np.log2(max(blocks // 4, 2)))))
     spread = lambda df: df.withColumn("blk", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), "h"), F.lit(blocks)))
-    reps = materialize(spread(firsts), "reps")
+    reps = spread(firsts.select("h", "doc_id"))
 
     def chosen(t: pa.Table, picks: pa.Table) -> pa.Table:
         ok = set(zip(picks.column("h").to_pylist(), picks.column("doc_id").to_pylist(), strict=True))
@@ -285,18 +295,36 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, chunk_to
     links = pairs.repartition(n, "lot").sortWithinPartitions("component", "a", "b", "nid").select("component", "a", "b", "nid", "tokens").mapInArrow(verify, "u long, v long")
     comps = connected_components(links)
     classes = kept.join(comps, F.col("nid") == F.col("node"), "left").select("h", "n", F.coalesce("component", "nid").alias("c"))
-    named = classes.join(reps.select("h", "doc_id"), "h")
-    smallest = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(smallest, "c").select("h", F.col("n").alias("n_shingles"), "component_id")
-    ids = rows.select("doc_id", "h")
-    return ids.join(named, "h").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return materialize(classes.join(reps.select("h", "doc_id"), "h"), "classes")
+
+
+def text_hash(text):
+    return F.md5(F.encode(F.coalesce(text, F.lit("")), "utf-8"))
 
 
 def one_of_each(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
-    """The documents that are the first of their component, with all their columns; null doc_ids stay."""
-    found = near_duplicates(docs.select("doc_id", "text"), percent, width)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of each component, with all its columns, and every row without words.
+
+    The row that stays is that of the smallest doc_id (null last), then text hash, then hash of the other columns; of rows
+    equal in all columns, any one. Rows are told apart by doc_id and text, so different texts that share a doc_id are
+    judged apart.
+    """
+    named = text_classes(docs.select("doc_id", "text"), percent, width)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.xxhash64(F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)]))) if others else F.lit(0).cast("long")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("did"), text_hash(F.col("text")).alias("h"), rest.alias("rest"))
+    first = named.where("n > 0").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "h")).alias("f")).select("f.doc_id", "f.h")
+    ids = rows.groupBy("did", "h", "rest").agg(F.count("*").alias("many"))
+    ids = ids.join(first, (ids["h"] == first["h"]) & ids["did"].eqNullSafe(first["doc_id"])).groupBy(ids["did"], ids["h"]).agg(F.min(F.struct("rest", "many")).alias("m"))
+    blank = named.where("n = 0").select(F.lit(None).cast("long").alias("did"), "h", F.lit(None).cast("long").alias("rest"), F.lit(0).cast("long").alias("many"))
+    keep = materialize(ids.select("did", "h", "m.rest", "m.many").unionByName(blank), "keep").select(F.col("did").alias("d2"), F.col("h").alias("h2"), F.col("rest").alias("r2"), "many")
+    same = (F.col("h") == F.col("h2")) & ((F.col("many") == 0) | (F.col("did").eqNullSafe(F.col("d2")) & (F.col("rest") == F.col("r2"))))
+    kept = rows.join(keep, same)
+    # Rows equal in all columns are rare; only these are shuffled once more, combined map-side.
+    one = kept.where("many < 2").select("row")
+    if keep.where("many > 1").take(1):
+        one = one.union(kept.where("many > 1").dropDuplicates(["did", "h", "rest"]).select("row"))
+    return one.select("row.*")
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
