@@ -10,11 +10,14 @@
     the passage's rarest words, as the share found in the region. Near-verbatim copies pass by the first alone,
     paraphrases need both.
 
-Items are searched in blocks of at most ``block_items``, so what is sent to the workers has a fixed bound at any benchmark
-size. Documents are not shuffled; whole texts are searched, and no candidate is capped.
-
-Nulls: null or blank texts and items match nothing; a passage of fewer than ``least_words`` words is too short to tell and
-is not searched. A null doc_id or item_id is carried. Repeated rows are found alike. Empty tables give an empty result.
+Items are searched in blocks of at most ``block_items``, several blocks in one reading of the corpus, so what is sent to the
+workers has a fixed bound at any benchmark size. Documents are not shuffled; whole texts are searched, and no candidate is
+capped. Items of fewer than ``least_words`` words have no latent place; they are found where all their words stand in a row.
+
+Nulls: null or blank texts and items match nothing; an item of fewer than ``SHORT_WORDS`` words is too short to tell and is
+not searched. A null doc_id or item_id is carried. Repeated rows are found alike, and rows are cleaned by doc_id and text, so
+different texts that share a doc_id are judged apart. Of equal common subsequences of one document and item, the first is
+reported. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ RANK, WINDOW, STRIDE = 64, 24, 8
 LATENT, FULL = 0.8, 0.25
 #: Shares of a passage: near-verbatim; paraphrase, with its answer words.
 VERBATIM, PARAPHRASE, ANSWER = 0.75, 0.55, 0.75
-BLOCK_ITEMS, PASSAGE_WORDS, LEAST_WORDS = 1_024, 96, 8
+BLOCK_ITEMS, BLOCKS_A_PASS, PASSAGE_WORDS, LEAST_WORDS, SHORT_WORDS = 1_024, 8, 96, 8, 4
 #: Words in more than this share of documents carry no weight, save in hot passages: those whose words weigh so little that
 #: ``FULL`` would miss them in a window of rare words. These are searched once more, where a word has ``FLOOR`` of a rare word's
 #: weight at least.
@@ -41,46 +44,65 @@ HOT = (FULL**2 * (WINDOW - LEAST_WORDS) / (LEAST_WORDS * (1 - FULL**2))) ** 0.5
 _PIECE = 1 << 20
 
 
+class Vocabulary:
+    """Sorted word hashes; a word's number is its place."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.coarse = np.zeros(1 << 16, bool)
+        self.coarse[(hashes & U64(0xFFFF)).astype(np.int64)] = True
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def codes(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and numbers of the vocabulary's words among hashes."""
+        may = np.flatnonzero(self.coarse[(h & U64(0xFFFF)).astype(np.int64)])
+        code = np.minimum(np.searchsorted(self.hashes, h[may]), len(self.hashes) - 1)
+        ok = self.hashes[code] == h[may]
+        return may[ok], code[ok]
+
+
 class Passages:
-    """Passages of a block of items: words as numbers of the block's vocabulary."""
+    """Passages of a block of items: words as numbers of the block's vocabulary; ``short`` has whole items too short for one."""
 
     def __init__(self, ids: list, texts: list[str], passage_words: int, least_words: int):
         data, offs = utf8(pa.array([t or "" for t in texts], pa.string()))
         h, at = word_hashes(data, offs)
-        self.vocab = np.unique(h)
-        code = np.searchsorted(self.vocab, h)
+        self.vocab = Vocabulary(np.unique(h))
+        code = np.searchsorted(self.vocab.hashes, h)
         self.item, self.words = [], []
+        self.short: dict[int, list[tuple[int, int]]] = {}
         for k, item in enumerate(ids):
             own = code[at[k] : at[k + 1]]
+            if SHORT_WORDS <= len(own) < least_words:
+                self.short.setdefault(len(own), []).append((int(runs(h[at[k] : at[k + 1]], len(own))[0]), item))
             for a in range(0, max(len(own) - passage_words // 2, 1), passage_words // 2):
                 part = own[a : a + passage_words]
                 if len(part) >= least_words:
                     self.item.append(item)
                     self.words.append(part)
-        self.coarse = np.zeros(1 << 16, bool)
-        self.coarse[(self.vocab & U64(0xFFFF)).astype(np.int64)] = True
 
     def part(self, numbers: list[int]) -> tuple[Passages, np.ndarray]:
         """Some of the passages with the vocabulary of these alone, and that vocabulary's numbers in the whole one."""
         out = object.__new__(Passages)
         old = np.unique(np.concatenate([self.words[i] for i in numbers]))
-        out.vocab = self.vocab[old]
+        out.vocab, out.short = Vocabulary(self.vocab.hashes[old]), {}
         out.item, out.words = [self.item[i] for i in numbers], [np.searchsorted(old, self.words[i]) for i in numbers]
-        out.coarse = np.zeros(1 << 16, bool)
-        out.coarse[(out.vocab & U64(0xFFFF)).astype(np.int64)] = True
         return out, old
 
-    def codes(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and numbers of the vocabulary's words among hashes."""
-        may = np.flatnonzero(self.coarse[(h & U64(0xFFFF)).astype(np.int64)])
-        code = np.minimum(np.searchsorted(self.vocab, h[may]), len(self.vocab) - 1)
-        ok = self.vocab[code] == h[may]
-        return may[ok], code[ok]
+
+def runs(h: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of ``width`` words."""
+    out = np.zeros(max(len(h) - width + 1, 0), U64)
+    for i in range(width):
+        out = out * U64(0xA0761D6478BD642F) + h[i : len(h) - width + 1 + i]
+    return out
 
 
-def document_frequencies(docs: DataFrame, passages: Passages) -> tuple[np.ndarray, int]:
+def document_frequencies(docs: DataFrame, vocab: Vocabulary) -> tuple[np.ndarray, int]:
     """In how many documents each word of the vocabulary stands, and the number of documents."""
-    size = len(passages.vocab)
+    size = len(vocab)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, rows = np.zeros(size, np.int64), 0
@@ -89,13 +111,13 @@ def document_frequencies(docs: DataFrame, passages: Passages) -> tuple[np.ndarra
             rows += batch.num_rows
             for a, b in chunks(offs, _PIECE):
                 h, at = word_hashes(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-                place, code = passages.codes(h)
+                place, code = vocab.codes(h)
                 own = np.searchsorted(at, place, "right") - 1
                 df += np.bincount(np.unique(own * size + code) % size, minlength=size)
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], rows))], ["w", "n"])
 
-    got = dict(docs.select("text").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n")).collect())  # a row per word of a block at most
+    got = dict(docs.select("text").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n")).collect())  # a row per word of the blocks at most
     out = np.zeros(size, np.int64)
     for w, n in got.items():
         if w >= 0:
@@ -162,40 +184,50 @@ def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
 _FIELDS = "doc_id long, item_id long, kind string, cosine double, lcs double, answer double, first_word long, last_word long"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS, blocks_a_pass: int = BLOCKS_A_PASS) -> DataFrame:
     """(doc_id, item_id, kind, cosine, lcs, answer, first_word, last_word): documents that hold a passage of an item."""
+    return _found(docs.select("doc_id", "text", F.lit(None).cast("string").alias("h")), benchmark, block_items, blocks_a_pass).drop("h")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS, blocks_a_pass: int = BLOCKS_A_PASS) -> DataFrame:
+    """contaminated() with each document's ``h``."""
     spark = docs.sparkSession
     items = benchmark.where("text is not null").select("item_id", "text").distinct()
-    blocks = max(1, -(-items.count() // (block_items // 2)))
-    out = None
-    for k in range(blocks):  # queries in blocks
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        for a in range(0, max(len(own), 1), block_items):
-            part = own[a : a + block_items]
-            found = _search(spark, docs, Passages([r[0] for r in part], [r[1] for r in part], PASSAGE_WORDS, LEAST_WORDS))
-            if found is not None:
-                out = found if out is None else out.union(found)
-    return spark.createDataFrame([], _FIELDS) if out is None else out
-
-
-def _search(spark, docs: DataFrame, passages: Passages) -> DataFrame | None:
-    if not passages.words:
-        return None
-    df, n_docs = document_frequencies(docs, passages)
+    lots = max(1, -(-items.count() // (block_items * blocks_a_pass // 2)))
+    out = spark.createDataFrame([], _FIELDS + ", h string")
+    for k in range(lots):  # queries in blocks; a lot's blocks are searched in one reading of the corpus
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(lots)) == k).orderBy("item_id", "text").collect()
+        blocks = [Passages([r[0] for r in own[a : a + block_items]], [r[1] for r in own[a : a + block_items]], PASSAGE_WORDS, LEAST_WORDS) for a in range(0, len(own), block_items)]
+        for a in range(0, len(blocks), blocks_a_pass):
+            part = [p for p in blocks[a : a + blocks_a_pass] if p.words or p.short]
+            out = out.union(_search(spark, docs, part)) if part else out
+    return out
+
+
+def _search(spark, docs: DataFrame, blocks: list[Passages]) -> DataFrame:
+    vocab = Vocabulary(np.unique(np.concatenate([p.vocab.hashes for p in blocks])))
+    df, n_docs = document_frequencies(docs, vocab)
     rare = max(float(np.log((n_docs + 1) / 2)), 1.0)
-    true = np.log((n_docs + 1) / (df + 1))
-    cut = np.where(df > np.maximum(COMMON * n_docs, 2), 0, true)
-    hot = [bool(np.sqrt((cut[w] ** 2).mean()) < HOT * rare) for w in passages.words]
-    spaces = []
-    if cut.any():
-        spaces.append(_space(spark, passages, cut))
-    if any(hot):  # besides, not instead: what the first space finds stays found
-        some, old = passages.part(np.flatnonzero(hot).tolist())
-        spaces.append(_space(spark, some, np.maximum(true, FLOOR * rare)[old]))
+    spaces, short = [], {}
+    for passages in blocks:
+        for size, own in passages.short.items():
+            short.setdefault(size, []).extend(own)
+        if not passages.words:
+            continue
+        own = df[np.searchsorted(vocab.hashes, passages.vocab.hashes)]
+        true = np.log((n_docs + 1) / (own + 1))
+        cut = np.where(own > np.maximum(COMMON * n_docs, 2), 0, true)
+        hot = [bool(np.sqrt((cut[w] ** 2).mean()) < HOT * rare) for w in passages.words]
+        if cut.any():
+            spaces.append(_space(spark, passages, cut))
+        if any(hot):  # besides, not instead: what the first space finds stays found
+            some, old = passages.part(np.flatnonzero(hot).tolist())
+            spaces.append(_space(spark, some, np.maximum(true, FLOOR * rare)[old]))
+    exact = {size: (np.array([x for x, _ in sorted(own, key=str)], U64), [i for _, i in sorted(own, key=str)]) for size, own in short.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids, keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             data, offs = utf8(batch.column(1))
             rows = []
             for a, b in chunks(offs, _PIECE):
@@ -203,12 +235,25 @@ def _search(spark, docs: DataFrame, passages: Passages) -> DataFrame | None:
                 best: dict[tuple, tuple] = {}
                 for space in spaces:
                     _piece(h, at, rare, *space, best)
-                rows += [(ids[a + d], *rest) for d, *rest in best.values()]
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+                for size, (hashes, items) in exact.items():
+                    _exact(h, at, size, hashes, items, best)
+                rows += [(ids[a + d], *rest, keys[a + d]) for d, *rest in best.values()]
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.string())
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [f.split()[0] for f in _FIELDS.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [*[f.split()[0] for f in _FIELDS.split(", ")], "h"])
+
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text", "h").mapInArrow(run, _FIELDS + ", h string")
+
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, _FIELDS)
+def _exact(h: np.ndarray, at: np.ndarray, size: int, hashes: np.ndarray, items: list, rows: dict) -> None:
+    """The first place of each item of ``size`` words that stands in a document word by word."""
+    every = runs(h, size)
+    where = np.flatnonzero(np.isin(every, hashes))
+    doc = np.searchsorted(at, where, "right") - 1
+    for s, d in zip(where.tolist(), doc.tolist(), strict=True):
+        if s + size <= at[d + 1]:
+            for i in np.flatnonzero(hashes == every[s]).tolist():
+                rows.setdefault((d, items[i]), (d, items[i], "verbatim", 1.0, 1.0, 1.0, s - int(at[d]), s + size - int(at[d])))
 
 
 def _space(spark, passages: Passages, idf: np.ndarray) -> tuple:
@@ -225,7 +270,7 @@ def _space(spark, passages: Passages, idf: np.ndarray) -> tuple:
 
 def _piece(h: np.ndarray, at: np.ndarray, rare: float, passages: Passages, idf: np.ndarray, vectors: np.ndarray, query: np.ndarray, answers: list, rows: dict) -> None:
     """The best row of each (document, item) among the words ``h`` of the texts at ``at``, into ``rows``."""
-    place, code = passages.codes(h)
+    place, code = passages.vocab.codes(h)
     weigh = idf[code] > 0
     key, kcode = place[weigh], code[weigh]
     if not len(key):
@@ -290,9 +335,11 @@ def _piece(h: np.ndarray, at: np.ndarray, rare: float, passages: Passages, idf:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark passage; rows with a null doc_id stay."""
-    gone = contaminated(docs.select("doc_id", "text"), benchmark).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that hold no benchmark passage; a row is known by its doc_id and text, either of which may be null."""
+    h = F.md5(F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("did"), h.alias("h"))
+    gone = _found(docs.select("doc_id", "text", h.alias("h")), benchmark).select(F.col("doc_id").alias("d2"), F.col("h").alias("h2")).distinct()
+    return rows.join(gone, (rows["h"] == gone["h2"]) & rows["did"].eqNullSafe(gone["d2"]), "left_anti").select("row.*")
 
 
 def op10_latent_decontamination(spark, sf_dir: str) -> DataFrame:
