@@ -9,7 +9,7 @@ millionths), so reruns agree to the bit.
 
 Rates are rounded to copies: the whole part always, and one more for the documents with the smallest scattered number
 over fraction (sequential Poisson order), as many as the source's target still asks for. That cut is found digit by
-digit in histograms of 256 cells per source, so no source is ever sorted or gathered in one task; two more turns fill
+digit in histograms of 4096 cells per source, so no source is ever sorted or gathered in one task; two more turns fill
 what is missing with documents that fit into it.
 
 Nulls: a null text has size 0; null sources are one source, ordered last; a null doc_id is scattered by its size. Rows
@@ -18,6 +18,8 @@ that are equal get equal copies. Sources of size 0 get target 0. An empty table
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +27,9 @@ from .common import materialize, word_count
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-_UNIT = 1_000_000
-_DIGITS, _BASE = 3, 256
+#: Rates are summed as whole numbers of this unit, so sums hang on no order and their error stays far below the tolerance.
+_FINE = 10**12
+_DIGITS, _BASE = 2, 4096
 _TURNS = 3
 
 
@@ -51,39 +54,47 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return ranked.select("source", "source_size", F.least("cap", F.coalesce(F.col("final") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def solve_rates(cells: DataFrame, targets: DataFrame, most: int = MOST, rounds: int = 40, tolerance: float = 1e-7) -> DataFrame:
-    """(source, multiplier): Newton's method on the dual; ``cells`` are (source, size, n)."""
-    mean = F.col("source_size") / F.col("docs")
-    docs = cells.groupBy("source").agg(F.sum("n").alias("docs"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
-    state = docs.join(targets, docs["source"].eqNullSafe(targets["source"])).select(
-        docs["source"], "source_size", "target", mean.alias("mean"), F.lit(0.0).alias("x"), F.lit(-745.0).alias("lo"),
-        (F.log(F.lit(float(most))) * F.coalesce(mean / F.col("least"), F.lit(1.0)) + 1e-6).alias("hi"),
+def solve_rates(cells: DataFrame, targets: DataFrame, most: int = MOST, rounds: int = 100, tolerance: float = 1e-9) -> DataFrame:
+    """(source, multiplier, mean): Newton's method on the dual; ``cells`` are (source, size, n).
+
+    The dual separates by source. A source that met its target to ``tolerance`` is frozen, and later rounds read the
+    cells of the others only. Newton works on the logarithm of the taken size, which the tilt makes nearly straight; a
+    step that leaves the bracket, or that did not halve the gap, is replaced by the bracket's middle, so each source is
+    done in some 60 rounds at worst and raises where it is not. Sources whose target is 0 or their cap need no
+    multiplier and are left out.
+    """
+    cells = cells.where("size > 0")
+    own = cells.groupBy("source").agg(F.sum("n").alias("docs"), F.min("size").alias("least"), F.sum(F.col("size") * F.col("n")).alias("have"))
+    own = own.withColumn("mean", F.col("have") / F.col("docs"))
+    own = own.withColumnRenamed("source", "src").join(targets, F.col("src").eqNullSafe(F.col("source")))
+    state = own.where((F.col("target") > 0) & (F.col("target") < most * F.col("have"))).select(
+        "src", "target", "mean", F.log(F.col("target") / F.col("have")).alias("x"), F.lit(None).cast("double").alias("lo"),
+        (math.log(most) * F.col("mean") / F.col("least")).alias("hi"), F.lit(None).cast("double").alias("gap"), F.lit(False).alias("done"),
     )
     state = materialize(state, "dual")
-    cells = cells.where("size > 0")
+    z = F.col("size") / F.col("mean")
+    rate = F.least(F.exp(F.least(F.col("x") * z, F.lit(5.0))), F.lit(float(most)))
+    exact = lambda c: (F.round(c * _FINE).cast("decimal(20,0)") * F.col("size") * F.col("n")).cast("decimal(38,0)")
+    kept = ["src", "target", "mean", "x", "lo", "hi", "gap"]
     for _ in range(rounds):
-        s = state.withColumnRenamed("source", "src")
-        rows = cells.join(s, cells["source"].eqNullSafe(s["src"]))
-        z = F.col("size") / F.col("mean")
-        rate = F.exp(F.least(F.col("x") * z, F.lit(5.0)))
-        free = rate < most
-        got = F.sum((F.round(F.least(rate, F.lit(float(most))) * _UNIT).cast("decimal(20,0)") * F.col("size") * F.col("n")).cast("decimal(38,0)"))
-        slope = F.sum(F.when(free, F.round(rate * z * 1000).cast("decimal(24,0)") * F.col("size") * F.col("n")).cast("decimal(38,0)"))
-        sums = rows.groupBy("source").agg((got.cast("double") / _UNIT).alias("got"), (F.coalesce(slope.cast("double"), F.lit(0.0)) / 1000).alias("slope"))
-        nxt = s.join(sums, s["src"].eqNullSafe(sums["source"]), "left").drop("source").withColumnRenamed("src", "source")
-        gap = F.coalesce(F.col("got"), F.lit(0.0)) - F.col("target")
-        nxt = nxt.withColumn("lo", F.when(gap < 0, F.col("x")).otherwise(F.col("lo"))).withColumn("hi", F.when(gap >= 0, F.least("x", "hi")).otherwise(F.col("hi")))
-        step = F.col("x") - gap / F.when(F.col("slope") > 0, F.col("slope"))
-        middle = F.when((F.col("lo") < -1) & (F.col("hi") <= 0), F.least(F.col("hi") * 2, F.col("hi") - 1)).otherwise((F.col("lo") + F.col("hi")) / 2)
-        inside = (step > F.col("lo")) & (step < F.col("hi"))
-        nxt = nxt.withColumn("err", F.abs(gap) / F.greatest("target", F.lit(1.0)))
-        nxt = nxt.withColumn("x", F.when(F.col("err") <= tolerance, F.col("x")).when(inside, step).otherwise(middle))
-        nxt = nxt.withColumn("x", F.round(F.col("x"), 9))
-        state = materialize(nxt.select("source", "source_size", "target", "mean", "x", "lo", "hi", "err"), "dual")
-        if (state.agg(F.max("err")).first()[0] or 0.0) <= tolerance:
-            break
-        state = state.drop("err")
-    return state.select("source", F.col("x").alias("multiplier"), "mean")
+        live = state.where("not done").select(*kept)
+        sums = cells.join(live, cells["source"].eqNullSafe(live["src"])).groupBy(*kept).agg(
+            (F.sum(exact(rate)).cast("double") / _FINE).alias("got"),
+            (F.sum(F.when(rate < most, (F.round(rate * z * 1000).cast("decimal(24,0)") * F.col("size") * F.col("n")).cast("decimal(38,0)"))).cast("double") / 1000).alias("slope"),
+        )
+        now = F.abs(F.col("got") / F.col("target") - 1)
+        lo = F.when(F.col("got") < F.col("target"), F.col("x")).otherwise(F.col("lo"))
+        hi = F.when(F.col("got") >= F.col("target"), F.least("x", "hi")).otherwise(F.col("hi"))
+        step = F.col("x") - F.log(F.col("got") / F.col("target")) * F.col("got") / F.nullif(F.col("slope"), F.lit(0.0))
+        inside = (step < F.col("hi2")) & (F.col("lo2").isNull() | (step > F.col("lo2"))) & (F.col("gap").isNull() | (F.col("now") <= F.col("gap") / 2))
+        middle = F.coalesce((F.col("lo2") + F.col("hi2")) / 2, F.least(2 * F.col("x"), F.col("x") - 1))
+        nxt = sums.withColumns({"now": now, "lo2": lo, "hi2": hi})
+        nxt = nxt.withColumn("next", F.when(F.col("now") <= tolerance, F.col("x")).when(inside, step).otherwise(middle))
+        nxt = nxt.select("src", "target", "mean", F.col("next").alias("x"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), F.col("now").alias("gap"), (F.col("now") <= tolerance).alias("done"))
+        state = materialize(nxt.union(state.where("done")), "dual")
+        if not state.where("not done").take(1):
+            return state.select(F.col("src").alias("source"), F.col("x").alias("multiplier"), "mean")
+    raise RuntimeError(f"the dual did not converge in {rounds} rounds")
 
 
 def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -123,12 +134,11 @@ def _fill(part: DataFrame, need: DataFrame, end: bool) -> DataFrame:
     for digit in range(_DIGITS):
         unit = _BASE ** (_DIGITS - 1 - digit)
         inside = part.join(cut, part["source"].eqNullSafe(cut["src"])).where(F.expr(f"q div {unit * _BASE} = at div {unit * _BASE}"))
-        hist = inside.groupBy("source", F.expr(f"q div {unit}").alias("cell")).agg(F.sum("size").alias("tokens"))
-        by = Window.partitionBy("source").orderBy("cell")
-        below = F.coalesce(F.sum("tokens").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        placed = hist.withColumn("below", below).withColumnRenamed("source", "s2").join(cut.select("src", "need"), F.col("s2").eqNullSafe(F.col("src")))
+        hist = inside.groupBy(F.col("src").alias("s2"), F.col("need").alias("n2"), F.expr(f"q div {unit}").alias("cell")).agg(F.sum("size").alias("tokens"))
+        by = Window.partitionBy("s2", "n2").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+        hist = hist.withColumn("below", F.coalesce(F.sum("tokens").over(by), F.lit(0)))
         # Of the cells that begin before the need is met, the last; its inside is looked at with the next digit.
-        found = placed.where("below < need").groupBy("s2").agg(F.max(F.struct("cell", "below", "tokens")).alias("c"))
+        found = hist.where("below < n2").groupBy("s2", "n2").agg(F.max(F.struct("cell", "below", "tokens")).alias("c")).drop("n2")
         nxt = cut.join(found, F.col("src").eqNullSafe(F.col("s2")), "left")
         whole = F.col("need") - F.col("c.below") >= F.col("c.tokens") / (2 if end else 1) if digit == _DIGITS - 1 else F.lit(False)
         at = F.when(F.col("c").isNull(), F.col("at")).otherwise((F.col("c.cell") + whole.cast("long")) * unit)
@@ -141,11 +151,12 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
     """The columns of ``docs``, each row as often as the mix takes it."""
     own = copies(docs.select("doc_id", "source", "text"), weights, most)
     # Equal (doc_id, source, size) get equal copies, so one row of each decides.
-    times = own.groupBy("doc_id", "source", "size").agg(F.max("n_copies").alias("n_copies")).select(
-        F.col("doc_id").alias("d_"), F.col("source").alias("s_"), F.col("size").alias("z_"), F.col("n_copies").alias("n_"))
-    rows = docs.withColumn("size_", word_count(F.col("text")))
-    rows = rows.join(times, rows["doc_id"].eqNullSafe(times["d_"]) & rows["source"].eqNullSafe(times["s_"]) & (rows["size_"] == times["z_"]))
-    return rows.where("n_ > 0").withColumn("i_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_")))).select(*docs.columns)
+    times = own.groupBy("doc_id", "source", "size").agg(F.max("n_copies").alias("times"))
+    # The rows travel as one struct, so no column of theirs can clash with the names used here.
+    rows = docs.select(F.struct("*").alias("row"), word_count(F.col("text")).alias("size"))
+    same = F.col("row.doc_id").eqNullSafe(times["doc_id"]) & F.col("row.source").eqNullSafe(times["source"]) & (rows["size"] == times["size"])
+    rows = rows.join(times.where("times > 0"), same).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return rows.select("row.*")
 
 
 def op4_entropy_mixing(spark, sf_dir: str) -> DataFrame:
