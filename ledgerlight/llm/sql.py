@@ -93,7 +93,7 @@ doms_r as (select domain, (m * up + s) / (m + n) as r from doms, doms_m),
 hs as (select host, n, s, r as up from hosts join doms_r using (domain)),
 hs_m as ({_strength('hs', 'up')}),
 score as (
-  select host, n, s, r - {Z} * sqrt(r * (1 - r) / (m + n + 1)) as bound from (select host, n, s, m, (m * up + s) / (m + n) as r from hs, hs_m)
+  select host, n, s, r + {Z} * sqrt(r * (1 - r) / (m + n + 1)) as bound from (select host, n, s, m, (m * up + s) / (m + n) as r from hs, hs_m)
 )
 select page_id, host, path, case {_RULE} end as rule, case {_VERDICT} when bound < {FLOOR} then 'block' else 'allow' end as verdict, n as n_labels, s as n_good
 from p join score using (host)
