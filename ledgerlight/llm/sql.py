@@ -66,6 +66,7 @@ def _strength(groups: str, parent: str) -> str:
       from {groups} where n > 0)"""
 
 
+_M = f"least(m, greatest({LEAST}, up_n))"
 _LONG = "|".join(x.replace(".", "\\.") for x in LONG_SUFFIXES)
 _FITS = [(f"(host = '{r.partition('/')[0]}' or ends_with(host, '.{r.partition('/')[0]}')) and starts_with(path, '/{r.partition('/')[2]}')", r, v) for r, v in sorted(RULES, key=lambda x: (-len(x[0]), x[0]))]
 _RULE = " ".join(f"when {c} then '{r}'" for c, r, _ in _FITS)
@@ -83,17 +84,17 @@ hosts as (
     regexp_extract(host, '([^.]*\\.)?({_LONG}|[^.]*)$', 0) as domain, regexp_extract(host, '({_LONG}|[^.]*)$', 0) as suffix
   from p left join good on page_id = doc_id group by host
 ),
-overall as (select (coalesce(sum(s), 0) + 1)::double / (coalesce(sum(n), 0) + 2) as r from hosts),
-tops as (select suffix, sum(n) as n, sum(s) as s, any_value(r) as up from hosts, overall group by suffix),
+overall as (select (coalesce(sum(s), 0) + 1)::double / (coalesce(sum(n), 0) + 2) as r, coalesce(sum(n), 0) as up_n from hosts),
+tops as (select suffix, sum(n) as n, sum(s) as s, any_value(r) as up, any_value(up_n) as up_n from hosts, overall group by suffix),
 tops_m as ({_strength('tops', 'up')}),
-tops_r as (select suffix, (m * up + s) / (m + n) as r from tops, tops_m),
-doms as (select domain, suffix, sum(n) as n, sum(s) as s, any_value(r) as up from hosts join tops_r using (suffix) group by domain, suffix),
+tops_r as (select suffix, n as up_n, ({_M} * up + s) / ({_M} + n) as r from tops, tops_m),
+doms as (select domain, suffix, sum(n) as n, sum(s) as s, any_value(r) as up, any_value(up_n) as up_n from hosts join tops_r using (suffix) group by domain, suffix),
 doms_m as ({_strength('doms', 'up')}),
-doms_r as (select domain, (m * up + s) / (m + n) as r from doms, doms_m),
-hs as (select host, n, s, r as up from hosts join doms_r using (domain)),
+doms_r as (select domain, n as up_n, ({_M} * up + s) / ({_M} + n) as r from doms, doms_m),
+hs as (select host, n, s, r as up, up_n from hosts join doms_r using (domain)),
 hs_m as ({_strength('hs', 'up')}),
 score as (
-  select host, n, s, r + {Z} * sqrt(r * (1 - r) / (m + n + 1)) as bound from (select host, n, s, m, (m * up + s) / (m + n) as r from hs, hs_m)
+  select host, n, s, r + {Z} * sqrt(r * (1 - r) / (m + n + 1)) as bound from (select host, n, s, {_M} as m, ({_M} * up + s) / ({_M} + n) as r from hs, hs_m)
 )
 select page_id, host, path, case {_RULE} end as rule, case {_VERDICT} when bound < {FLOOR} then 'block' else 'allow' end as verdict, n as n_labels, s as n_good
 from p join score using (host)
