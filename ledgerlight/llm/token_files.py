@@ -1,9 +1,11 @@
 """Token ids in Arrow files of fixed-size-list batches.
 
 Documents are range-partitioned and sorted by doc_id, encoded, and each partition becomes one Arrow IPC file: rows of
-``length`` ids (fixed-size list) with a mask of the same shape, the last row padded. A file is memory-mapped and any
-sequence or mask is reached without copying or reading others. Ids take 16 bits where the vocabulary allows it, else 32.
-A third column lists the documents that begin in the row, so the files alone give back every document.
+``length`` ids (fixed-size list) with a mask of the same shape, the last row padded. All batches but a file's last have
+``batch_rows`` rows, so a row's place is computed, not looked for; a file is memory-mapped and any sequence or mask is
+reached without copying or reading others. Ids take 16 bits where the vocabulary allows it, else 32. Masks have a byte for
+each id and are dictionary-encoded: a file holds each distinct mask once. Another column lists the documents that begin in
+the row, so the files alone give back every document.
 
 Files are written under names of their own per attempt and listed by what the job's surviving attempts return; a retried
 task leaves an unlisted file at most. The folder is the session's shared one unless given; pyarrow's file systems write
@@ -15,13 +17,14 @@ their text's hash; equal rows are interchangeable. An empty table gives no docum
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
-import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +32,12 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, materialize, shuffle_partitions
+from .common import chunks, fresh_dir, materialize, shuffle_partitions, utf8
 
 LENGTH = 2_048
 END_ID = 0
 _LAST = np.iinfo(np.int64).max
+_PIECE = 1 << 20
 _CUT = re.compile(r"(?<=[!-~\w])(?= )")
 _UNSURE = re.compile(r" (?<=[^!-~\w] )")
 #: A piece whose pre-tokens are plain: a word, signs (no apostrophe, which may begin a contraction), perhaps a further line's.
@@ -60,35 +64,59 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class _Memo(dict):
+    """A dictionary that learns what it lacks when it is asked."""
+
+    __slots__ = ("learn",)
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.learn(piece)
+        return ids
+
+
 class Encoder:
     """The tokenizer with a bounded memo of pieces.
 
     Byte-level pre-tokens never join a space to what stands before it, so a text may be cut before any space that follows
     a letter, digit or ASCII sign; a piece's ids do not hang on its neighbours. An unknown piece of plain pre-tokens is put
-    together from theirs, so that a word known without its comma is not merged again. Other unknown pieces are encoded many
-    at a time as one text and told apart by their tokens' lengths in bytes.
+    together from theirs, so that a word known without its comma is not merged again; other unknown pieces are encoded as
+    they are. A tokenizer that does not cut this way encodes whole texts.
     """
 
-    def __init__(self, path: str, most: int = 350_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        # A byte-level vocabulary writes each byte as one character.
-        self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.most = most
+        self.packed = [i.to_bytes(self.dtype.itemsize, "little") for i in range(size)]
+        self.end = np.array([END_ID], self.dtype).tobytes()
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
         cutter = parts.get("pre_tokenizer") or {}
         self.composes = cutter.get("type") == "ByteLevel" and cutter.get("use_regex") is True and not cutter.get("add_prefix_space") and not parts.get("normalizer")
-        self.model = self.tokenizer.model
+        self.model = self._plain_model(parts.get("model") or {})
         self.letters = _byte_letters()
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.signs: dict[str, bytes] = {}
+        self.space = self.letters[0x20]
+        self.most = most
+        self.memo, self.old = self._fresh(), {}
+        self.lines, self.signs = {}, {}
+
+    def _plain_model(self, model: dict):
+        """The tokenizer's own model; a byte-pair one without its cache, which the memo replaces."""
+        from tokenizers import models
+
+        if not self.composes or model.get("type") != "BPE":
+            return self.tokenizer.model
+        keep = ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges", "dropout")
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        return models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, **{k: model[k] for k in keep if model.get(k) is not None})
+
+    def _fresh(self) -> _Memo:
+        memo = _Memo()
+        memo.learn = self._learn
+        return memo
 
     def pieces(self, text: str) -> list[str]:
         """The text up to the first cut, then the pieces without the space each begins with."""
@@ -104,77 +132,59 @@ class Encoder:
         """The ids of one pre-token, after ``before`` in the vocabulary's letters."""
         if not text.isascii() or not text.isalpha():
             text = text.encode().decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.model.tokenize(before + text)]
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(before + text)])
 
     def _sign(self, text: str) -> bytes:
         if len(text) > 3:  # the memo of signs has a bound
             return self._pre_token(text)
-        if text not in self.signs:
-            self.signs[text] = self._pre_token(text)
-        return self.signs[text]
-
-    def _compose(self, pieces: list[str]) -> list[str]:
-        """Learn the plain pieces; the others come back."""
-        memo, old, others = self.memo, self.old, []
-        for piece in pieces:
-            m = _PLAIN.fullmatch(piece)
-            if m is None:
-                others.append(piece)
-                continue
-            word, signs, line, more = m.groups()
-            ids = memo.get(word) or old.get(word)
-            if ids is None:
-                ids = memo[word] = self._pre_token(word, self.letters[0x20])
-            if signs:
-                ids += self._sign(signs)
-            if line:
-                ids += self._sign("\n") + self._pre_token(line)
-                if more:
-                    ids += self._sign(more)
-            memo[piece] = ids
-        return others
-
-    def _learn(self, pieces: list[str]) -> None:
-        memo = self.memo
-        if self.composes:
-            pieces = self._compose(pieces)
-        # White space at a piece's end would join the next one's space; special tokens have widths of their own.
-        plain = [p for p in pieces if p and not p[-1].isspace() and "<|" not in p]
-        odd = list(set(pieces).difference(plain))
-        for a in range(0, len(odd), 10_000):
-            memo.update(zip(odd[a : a + 10_000], self._each([" " + p for p in odd[a : a + 10_000]]), strict=True))
-        groups = [plain[a : a + 1_000] for a in range(0, len(plain), 1_000)]
-        found = self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)
-        for group, e in zip(groups, found, strict=True):
-            ids = np.array(e.ids, self.dtype)
-            ends = np.cumsum(self.width[ids])
-            cut = np.cumsum([len(p.encode()) + 1 for p in group])
-            at = np.searchsorted(ends, cut)
-            if not np.array_equal(ends[np.minimum(at, len(ends) - 1)], cut):
-                raise ValueError("the tokenizer joins pieces")
-            raw, size = ids.tobytes(), self.dtype.itemsize
-            stops = ((at + 1) * size).tolist()
-            memo.update(zip(group, [raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)], strict=True))
+        ids = self.signs.get(text)
+        if ids is None:
+            ids = self.signs[text] = self._pre_token(text)
+        return ids
+
+    def _line(self, word: str) -> bytes:
+        ids = self.lines.get(word)
+        if ids is None:
+            ids = self.lines[word] = self._pre_token(word)
+        return ids
+
+    def _learn(self, piece: str) -> bytes:
+        """The ids of a space and a piece: from the older half of the memo, from its pre-tokens, or by encoding it."""
+        ids = self.old.get(piece)
+        if ids is not None:
+            return ids
+        if piece.isalpha():
+            return self._pre_token(piece, self.space)
+        m = _PLAIN.fullmatch(piece)
+        if m is None:
+            return self._each([" " + piece])[0]
+        word, signs, line, more = m.groups()
+        ids = self.memo.get(word) or self.old.get(word)
+        if ids is None:
+            ids = self.memo[word] = self._pre_token(word, self.space)
+        if signs:
+            ids += self._sign(signs)
+        if line:
+            ids += self._sign("\n") + self._line(line)
+            if more:
+                ids += self._sign(more)
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian numbers."""
+        if not self.composes:
+            return self._each(texts)
         if len(self.memo) > self.most:  # what is used again comes back from the older half; the rest goes
-            self.old, self.memo = self.memo, {}
-        cut = [self.pieces(t) for t in texts]
-        heads = self._each([c[0] for c in cut])
-        get = self.memo.get
-        parts = [list(map(get, c)) for c in cut]
-        holes = [[i for i, x in enumerate(p) if x is None and i] for p in parts]
-        missing = {c[i] for c, h in zip(cut, holes, strict=True) for i in h}
-        for piece in missing.intersection(self.old):
-            self.memo[piece] = self.old[piece]
-        self._learn(list(missing.difference(self.memo)))
-        for c, p, h, head in zip(cut, parts, holes, heads, strict=True):
-            p[0] = head
-            for i in h:
-                p[i] = get(c[i])
-        return [b"".join(p) for p in parts]
+            self.old, self.memo, self.lines = self.memo, self._fresh(), {}
+        get, cut = self.memo.__getitem__, [self.pieces(t) for t in texts]
+        collects = gc.isenabled()
+        gc.disable()  # nothing below makes cycles, and the memo is large
+        try:
+            return [head + b"".join(map(get, islice(pieces, 1, None))) for head, pieces in zip(self._each([c[0] for c in cut]), cut, strict=True)]
+        finally:
+            if collects:
+                gc.enable()
 
 
 def _encoder(path: str) -> Encoder:
@@ -183,21 +193,25 @@ def _encoder(path: str) -> Encoder:
     return _STATE[path]
 
 
-def _schema(dtype: np.dtype, length: int) -> pa.Schema:
+def _schema(dtype: np.dtype, length: int, batch_rows: int) -> pa.Schema:
     item = pa.struct([("doc_id", pa.int64()), ("offset", pa.int64()), ("n", pa.int64())])
-    return pa.schema([("ids", pa.list_(pa.uint16() if dtype.itemsize == 2 else pa.uint32(), length)), ("mask", pa.list_(pa.bool_(), length)), ("docs", pa.list_(item))])
+    ids = pa.list_(pa.uint16() if dtype.itemsize == 2 else pa.uint32(), length)
+    return pa.schema([("ids", ids), ("mask", pa.dictionary(pa.int32(), pa.list_(pa.uint8(), length))), ("docs", pa.list_(item))], metadata={"batch_rows": str(batch_rows)})
 
 
-def _batch(ids: np.ndarray, real: int, docs: list[dict], length: int, schema: pa.Schema) -> pa.RecordBatch:
-    """Rows of ``length`` ids; ``docs`` has each document's offset in the batch."""
+def _batch(ids: np.ndarray, real: int, docs: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+    """Rows of ids, ``real`` of them before the padding; ``docs`` has (doc_id, offset in the batch, n) in order."""
+    length = schema.field("ids").type.list_size
     rows = len(ids) // length
-    by: list[list[dict]] = [[] for _ in range(rows)]
-    for d in docs:
-        by[d["offset"] // length].append(d | {"offset": d["offset"] % length})
-    mask = np.arange(len(ids)) < real
-    return pa.RecordBatch.from_arrays([
-        pa.FixedSizeListArray.from_arrays(pa.array(ids), length), pa.FixedSizeListArray.from_arrays(pa.array(mask), length), pa.array(by, schema.field("docs").type),
-    ], schema=schema)
+    masks = np.ones((2 if real < len(ids) else 1, length), np.uint8)
+    if real < len(ids):
+        masks[1] = np.arange(length) < real - (rows - 1) * length
+    which = np.zeros(rows, np.int32)
+    which[rows - 1] = len(masks) - 1
+    mask = pa.DictionaryArray.from_arrays(pa.array(which), pa.FixedSizeListArray.from_arrays(pa.array(masks.reshape(-1)), length))
+    begin = np.searchsorted(docs[:, 1] // length, np.arange(rows + 1)).astype(np.int32)
+    items = pa.StructArray.from_arrays([pa.array(docs[:, 0]), pa.array(docs[:, 1] % length), pa.array(docs[:, 2])], fields=list(schema.field("docs").type.value_type))
+    return pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(ids), length), mask, pa.ListArray.from_arrays(pa.array(begin), items)], schema=schema)
 
 
 def write_token_files(docs: DataFrame, where: str, tokenizer: str | None = None, length: int = LENGTH, batch_rows: int = 256) -> DataFrame:
@@ -211,26 +225,24 @@ def write_token_files(docs: DataFrame, where: str, tokenizer: str | None = None,
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path)
-        schema, size = _schema(enc.dtype, length), length * batch_rows
+        schema, size, wide = _schema(enc.dtype, length, batch_rows), length * batch_rows, enc.dtype.itemsize
         sink = writer = None
         fs, base = open_fs(where)
         have, fill, docs, part, total, many = [], 0, [], 0, 0, 0
 
         def flush(end: bool) -> None:
-            """Write whole rows; at the end the rest, padded. A document belongs to the row in which it begins."""
+            """Write whole batches; at the end the rest, its last row padded. A document belongs to the row in which it begins."""
             nonlocal have, fill, docs
-            flat = np.concatenate(have) if have else np.zeros(0, enc.dtype)
-            real = len(flat) if end else len(flat) // length * length
-            head = flat[:real]
-            pad = -real % length
-            if pad:
-                head = np.append(head, np.zeros(pad, enc.dtype))
-            for a in range(0, len(head), size):
-                b = min(a + size, len(head))
-                mine = [d | {"offset": d["offset"] - a} for d in docs if a <= d["offset"] < b]
-                writer.write_batch(_batch(head[a:b], max(0, min(real, b) - a), mine, length, schema))
-            docs = [d | {"offset": d["offset"] - real} for d in docs if d["offset"] >= real]
-            have, fill = ([flat[real:]], len(flat) - real) if real < len(flat) else ([], 0)
+            flat = np.frombuffer(b"".join(have), enc.dtype)
+            own = np.array(docs, np.int64).reshape(-1, 3)
+            real = len(flat) if end else len(flat) // size * size
+            cut = np.searchsorted(own[:, 1], np.arange(0, real + size, size))
+            for k, a in enumerate(range(0, real, size)):
+                ids = flat[a : min(a + size, real)]
+                batch = _batch(np.append(ids, np.zeros(-len(ids) % length, enc.dtype)), len(ids), own[cut[k] : cut[k + 1]] - [0, a, 0], schema)
+                writer.write_batch(batch)
+            docs = [(d, o - real, n) for d, o, n in docs[int(np.searchsorted(own[:, 1], real)) :]]
+            have, fill = [flat[real:].tobytes()], len(flat) - real
 
         for batch in batches:
             if not batch.num_rows:
@@ -239,16 +251,16 @@ def write_token_files(docs: DataFrame, where: str, tokenizer: str | None = None,
                 part = batch.column(2)[0].as_py()
                 name = f"{base}/tokens-{part:06d}-{uuid.uuid4().hex}.arrow"
                 sink = fs.open_output_stream(name, compression=None)
-                writer = pa.ipc.new_file(sink, schema)
-            dids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a in range(0, len(texts), 500):
-                for did, raw in zip(dids[a : a + 500], enc.encode(texts[a : a + 500]), strict=True):
-                    ids = np.append(np.frombuffer(raw, enc.dtype), enc.dtype.type(END_ID))
-                    docs.append({"doc_id": did, "offset": fill, "n": len(ids)})
-                    have.append(ids)
-                    fill += len(ids)
-                    total += len(ids)
-                    many += 1
+                writer = pa.ipc.new_file(sink, schema, options=pa.ipc.IpcWriteOptions(emit_dictionary_deltas=True))
+            dids, (_, offs) = batch.column(0).to_pylist(), utf8(batch.column(1))
+            for a, b in chunks(offs, _PIECE):
+                for did, raw in zip(dids[a:b], enc.encode(batch.column(1)[a:b].to_pylist()), strict=True):
+                    n = len(raw) // wide + 1
+                    docs.append((did, fill, n))
+                    have += (raw, enc.end)
+                    fill += n
+                    total += n
+                many += b - a
                 if fill >= size:
                     flush(False)
         if writer is not None:
@@ -316,14 +328,16 @@ def _documents(fs: pyarrow.fs.FileSystem, file: str, base: int) -> Iterator[pa.R
 
 
 def sequence(file_uri: str, row: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of one row of a local file, mapped into memory and not copied (the bit mask is unpacked)."""
+    """Ids and mask of one row of a local file, both mapped into memory and not copied; the row's batch is computed."""
     reader = pa.ipc.open_file(pa.memory_map(open_fs(file_uri)[1]))
-    for k in range(reader.num_record_batches):
-        batch = reader.get_batch(k)
-        if row < batch.num_rows:
-            return batch.column(0)[row].values.to_numpy(zero_copy_only=True), batch.column(1)[row].values.to_numpy(zero_copy_only=False)
-        row -= batch.num_rows
-    raise IndexError(row)
+    k, i = divmod(row, int(reader.schema.metadata[b"batch_rows"]))
+    if row < 0 or k >= reader.num_record_batches:
+        raise IndexError(row)
+    batch = reader.get_batch(k)
+    if i >= batch.num_rows:
+        raise IndexError(row)
+    mask = batch.column(1)
+    return batch.column(0)[i].values.to_numpy(zero_copy_only=True), mask.dictionary[mask.indices[i].as_py()].values.to_numpy(zero_copy_only=True)
 
 
 def token_digests(docs: DataFrame, where: str | None = None) -> DataFrame:
