@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # What counts as a number, as no data, and as a period label that is blanked before.
 NUMBER = r"-?\d[\d,]*\.?\d*%?"
-NO_DATA = ("", "-", "--", "na", "n/a", "nil", "n.a.", "–", "—")
+NO_DATA = ("", "-", "--", "—", "–", "na", "n/a", "nil", "nan")
 _MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 PERIOD_LABEL = (
     r"(?i)\bQ[1-4]\s*-\s*\d{2,4}\b|\b" + _MONTH + r"\s+\d{1,2}(?:st|nd|rd|th)?,?\s+\d{2,4}\b|\bQ[1-4]\s*(?:FY\s*)?['’]?\d{2,4}\b|\bFY\s*['’]?\d{2,4}\b|\b" + _MONTH + r"\s+['’]?\d{2,4}\b|\bQ[1-4]\b"
@@ -35,6 +35,7 @@ def parse_cell(raw: Column) -> Column:
     body = F.trim(F.regexp_replace(text, r"^\((.*)\)$", "$1"))
     percent = body.endswith("%")
     body = F.regexp_replace(F.regexp_replace(body, r"%$", ""), r"(?i)^\s*(₹|rs\.?|inr|usd|\$)\s*", "")
+    body = F.regexp_replace(body, r"(\d)'(\d)", "$1$2")
     body = F.replace(F.replace(body, F.lit(" ")), F.lit(","))
     negative = bracket | body.startswith("-") | body.endswith("-")
     body = F.regexp_replace(body, r"^-|-$", "")
@@ -42,6 +43,16 @@ def parse_cell(raw: Column) -> Column:
     return F.struct(F.when(ok, F.concat(F.when(negative, "-").otherwise(""), body)).alias("value"), F.when(ok & percent, "%").alias("unit"))
 
 
+def ocr_token(raw: Column) -> Column:
+    """A recognised word as a plain number, or null: brackets or braces mean minus, a last comma before two digits a point."""
+    text = F.replace(F.replace(F.trim(F.coalesce(raw, F.lit(""))), F.lit("{"), F.lit("(")), F.lit("}"), F.lit(")"))
+    bracket = text.rlike(r"^\(.*\)$")
+    body = F.regexp_replace(F.when(bracket, F.regexp_replace(text, r"^\((.*)\)$", "$1")).otherwise(text), "%+$", "")
+    body = F.when(body.contains("."), body).otherwise(F.regexp_replace(body, r",(\d{2})$", ".$1"))
+    body = F.replace(body, F.lit(","))
+    return F.when(body.rlike(r"^-?\d+\.?\d*$"), F.concat(F.when(bracket, "-").otherwise(""), body))
+
+
 def unit_of(text: Column) -> Column:
     out = None
     for pattern, unit in UNITS:
@@ -64,13 +75,55 @@ def answer_numbers(text: Column, marker: str = "FINAL ANSWER:") -> Column:
 
 def canonical(numbers: Column) -> Column:
     """Numbers as value and per-cent sign, so that spellings of one value agree."""
-    return F.array_distinct(F.transform(numbers, lambda x: F.concat(F.round(F.regexp_replace(x, "[%]", "").try_cast("double"), 9).cast("string"), F.when(x.endswith("%"), "%").otherwise(""))))
+    return F.array_distinct(F.transform(numbers, _canon))
+
+
+def _canon(x: Column) -> Column:
+    return F.concat(F.round(F.regexp_replace(x, "[%]", "").try_cast("double"), 9).cast("string"), F.when(x.endswith("%"), "%").otherwise(""))
 
 
 def matched(pred: Column, truth: Column) -> Column:
     return F.size(F.array_intersect(canonical(pred), canonical(truth)))
 
 
+def unmatched(a: Column, b: Column) -> Column:
+    """Numbers of ``a`` whose value no number of ``b`` has, sorted: missing ones of the truth, or extra ones of the answer."""
+    own = canonical(b)
+    return F.array_sort(F.filter(a, lambda x: ~F.array_contains(own, _canon(x))))
+
+
+def share_matched(a: Column, b: Column) -> Column:
+    """Share of ``a``'s numbers that ``b`` has; null without any. Of the truth: partial match; of the answer: consistency."""
+    return F.when(F.size(a) > 0, matched(a, b) / F.size(a))
+
+
+def invented(pred: Column, evidence: Column, truth: Column) -> Column:
+    """How many numbers of an answer stand neither in the evidence nor in the truth, as written."""
+    return F.size(F.array_except(pred, F.array_union(evidence, truth)))
+
+
+def quarter_years(text: Column) -> Column:
+    """Distinct 'q-yy' pairs of a text."""
+    pattern = F.lit(r"(?i)Q([1-4])[\s\-]*(?:FY)?[\s\-]*(\d{2,4})")
+    flat = F.coalesce(text, F.lit(""))
+    return F.array_distinct(F.zip_with(F.regexp_extract_all(flat, pattern, 1), F.regexp_extract_all(flat, pattern, 2), lambda q, y: F.concat_ws("-", q, F.right(y, F.lit(2)))))
+
+
+def is_multivalue(truth: Column) -> Column:
+    return F.size(truth) >= 3
+
+
+def multivalue_complete(answer: Column, truth: Column, expected: Column | None = None) -> Column:
+    """Whether every number of a truth with three or more was given; where an answer that is a period is expected, whether it
+    names that period; else null."""
+    pred, gold = answer_numbers(answer), answer_numbers(truth)
+    every = F.when(is_multivalue(gold), (matched(pred, gold) == F.size(gold)).cast("int"))
+    if expected is None:
+        return every
+    want = quarter_years(expected)
+    return F.when(F.size(want) > 0, F.arrays_overlap(want, quarter_years(answer)).cast("int")).otherwise(every)
+
+
 def precision_recall(pred: Column, truth: Column) -> dict[str, Column]:
     """Precision, recall, F1 and exact match; null where the truth has no number."""
     some = F.size(truth) > 0
@@ -99,8 +152,3 @@ def min_max(x: Column, window) -> Column:
     """Scaled to 0..1 over a window; a flat one gives 0.5."""
     lo, hi = F.min(x).over(window), F.max(x).over(window)
     return F.when(hi > lo, (x - lo) / (hi - lo)).otherwise(0.5)
-
-
-def implausible(name: Column, value: Column) -> Column:
-    """A revenue of absolute value under 10."""
-    return F.lower(name).rlike("revenue|sales|turnover") & (F.abs(parse_numeric(value)) < 10)

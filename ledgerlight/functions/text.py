@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Word lists and patterns that results hang on.
@@ -28,7 +28,17 @@ NOISE = (
     r"Copyright\s*(\(c\)|©)?.*", r"Page\s+\d+\s+of\s+\d+",
 )
 MOJIBAKE = (("â€™", "'"), ("â€˜", "'"), ("â€œ", '"'), ("â€\x9d", '"'), ("â€“", "-"), ("â€”", "-"), ("â€¦", "..."), ("â€¢", "-"), ("Â®", "®"), ("Â©", "©"), ("Â°", "°"), ("Â", ""))
-FILLERS = ("um", "uh", "you know", "i mean", "sort of", "kind of")
+FILLERS = ("uh", "um", "you know", "sort of", "kind of", "okay")
+SPOKEN_TERMS = (
+    ("ebit da", "EBITDA"), ("e bit da", "EBITDA"), ("gross n p a", "Gross NPA"), ("net n p a", "Net NPA"), ("a u m", "AUM"), ("profit after tax", "PAT"),
+    ("year on year", "YoY"), ("quarter on quarter", "QoQ"), ("p p o p", "PPOP"), ("return on assets", "ROA"), ("return on equity", "ROE"), ("c a s a", "CASA"),
+    ("net interest margin", "NIM"), ("c a g r", "CAGR"), ("earnings per share", "EPS"), ("book value", "Book Value"), ("operating margin", "Operating Margin"),
+    ("provision coverage ratio", "PCR"), ("cost of funds", "Cost of Funds"), ("assets under management", "AUM"), ("gross non performing assets", "Gross NPA"),
+    ("net non performing assets", "Net NPA"), ("credit access gramm in", "CreditAccess Grameen's"), ("credit access gramm", "CreditAccess Grameen"),
+    ("motilaal oswal", "Motilal Oswal"), ("motilal orstral", "Motilal Oswal"), ("delicacies", "delinquencies"), ("cut-em-as", "customers"),
+    ("cut income ratio", "cost-to-income ratio"), ("oricial poisoning", "overall provisioning"), ("a&m position", "ALM position"),
+    ("easier coverage", "ECL coverage"), ("easier provisioning", "ECL provisioning"),
+)
 OPERATOR_SAYS = r"next question is from the line of|please go ahead|please show a hand|ladies and gentlemen|welcome to the|we will now begin the question"
 ANALYST_SAYS = r"thank you for the opportunity|thanks for the opportunity|thank you for giving me the opportunity|thank you for giving the opportunity"
 NUMERIC_WORDS = (
@@ -42,7 +52,27 @@ SYNONYMS = (
     ("guidance", "outlook forecast"), ("eps", "earnings per share"), ("ebitda", "operating profit"), ("expenses", "costs expenditure"),
 )
 COMPANY_WORDS = r"\b(limited|ltd|incorporated|inc|corp|corporation|company|co)\b"
-REFUSAL = ("not available", "not found", "no information", "cannot be determined", "not mentioned", "not provided", "does not contain", "unable to")
+REFUSAL = (
+    r"(?i)\b(does not contain|no information|not (?:explicitly )?(?:mentioned|available|stated|found|provided)|cannot find|could not find|"
+    r"unable to (?:find|determine)|not present in the (?:evidence|text|data))\b"
+)
+ABSTAINS = (
+    "does not contain", "doesn't contain", "not contain this information", "cannot determine", "can't determine", "no information", "not available in the",
+    "unable to determine", "not found in the", "insufficient evidence", "does not provide", "did not provide", "did not contain", "did not mention",
+    "does not mention", "was not provided", "was not discussed", "were not discussed", "was not mentioned", "were not mentioned",
+)
+METRIC_ALIASES = (
+    ("revenue from operations", ("revenue from operations", "revenue")), ("revenue", ("revenue from operations", "revenue")),
+    ("net profit", ("net profit", "profit after tax", "profit for the period")), ("profit after tax", ("profit after tax", "net profit")),
+    ("basic eps", ("basic eps", "earnings per share")), ("earnings per share", ("earnings per share", "basic eps")), ("ebitda", ("ebitda",)),
+    ("pat", ("pat", "profit after tax", "net profit")),
+)
+CONTACT_CELLS = ("registered office", "cin", "website", "email", "phone", "fax", "tel", "gstin", "toll free")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows behind a generator of one row each, so that the optimizer does not copy long expressions into their uses."""
+    return df.select(F.explode_outer(F.array(F.struct("*"))).alias("t_")).select("t_.*")
 
 
 def any_of(text: Column, needles: tuple[str, ...]) -> Column:
@@ -98,8 +128,18 @@ def clean_evidence(text: Column) -> Column:
 
 
 def clean_speech(text: Column) -> Column:
-    """White space and filler words of a transcript."""
-    return squash(F.regexp_replace(squash(text), r"(?i)\b(" + "|".join(FILLERS) + r")\b,?", ""))
+    """White space and filler words of a transcript; a filler goes where it stands between spaces, one pass per filler."""
+    flat = F.regexp_replace(text, r"\s+", " ")
+    for word in FILLERS:
+        flat = F.replace(flat, F.lit(f" {word} "), F.lit(" "))
+    return F.trim(flat)
+
+
+def spoken_terms(text: Column) -> Column:
+    """Spelled-out terms and known mishearings, replaced in declared order wherever they stand, whatever their case."""
+    for said, meant in SPOKEN_TERMS:
+        text = F.regexp_replace(text, rf"(?i)\Q{said}\E", meant)
+    return text
 
 
 def speaker_role(text: Column) -> Column:
@@ -168,23 +208,59 @@ def is_heading(text: Column, font: Column, bold: Column) -> Column:
     return shape & (letters >= 0.6)
 
 
-def fact_category(fact: Column) -> Column:
-    """Category of a rendered fact by its prefix."""
-    low = F.lower(fact)
-    return F.when(low.startswith("guidance"), "guidance").when(low.startswith("risk"), "risk").when(low.startswith("sentiment"), "sentiment").when(low.startswith("entity"), "entity").otherwise("metric")
+def requested_statement(question: Column, stated: Column | None = None) -> Column:
+    """The statement type stated beside the question, else named in it, else consolidated for numeric questions."""
+    q = F.coalesce(question, F.lit(""))
+    out = F.when(q.rlike(r"(?i)\bstandalone\b"), "standalone").when(q.rlike(r"(?i)\bconsolidated\b"), "consolidated").when(is_numeric_question(q), "consolidated")
+    return out if stated is None else F.coalesce(F.when(F.lower(stated).isin("standalone", "consolidated"), F.lower(stated)), out)
+
+
+def statement_tag(title: Column, section: Column, document: Column, text: Column) -> Column:
+    """'**[Standalone figures]**' and a new line, or the like, where the parts name one kind; else ''."""
+    kind = statement_type(F.concat_ws(" ", title, section, document, F.substring(text, 1, 500)))
+    return F.coalesce(F.concat(F.lit("**["), kind, F.lit(" figures]**\n")), F.lit(""))
+
+
+def metric_phrases(question: Column) -> Column:
+    """Spellings of the metrics named in a question, the longest first, once each."""
+    low = F.lower(F.coalesce(question, F.lit("")))
+    found = F.flatten(F.array(*[F.when(low.contains(k), F.array(*map(F.lit, v))).otherwise(F.array().cast("array<string>")) for k, v in METRIC_ALIASES]))
+    ranked = F.array_sort(F.transform(F.array_distinct(found), lambda x: F.struct(-F.length(x), F.array_position(F.array_distinct(found), x), x.alias("x"))))
+    return F.transform(ranked, lambda r: r["x"])
 
 
 def is_refusal(answer: Column) -> Column:
-    return any_of(F.lower(answer), REFUSAL)
+    """A 'not found' answer instead of an attempt."""
+    return F.coalesce(answer, F.lit("")).rlike(REFUSAL)
+
+
+def abstained(answer: Column) -> Column:
+    """The scores' wider test of a declined answer."""
+    return any_of(F.lower(F.coalesce(answer, F.lit(""))), ABSTAINS)
+
 
+def is_tiny(text: Column, most: int = 15) -> Column:
+    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")) <= most
 
-def strip_delta(answer: Column, marker: str = "FINAL ANSWER:") -> Column:
-    """Drops '(+x (y%))' and '(y%)' after the last marker."""
-    tail = F.substring_index(answer, marker, -1)
-    head = F.substring(answer, F.lit(1), F.length(answer) - F.length(tail))
-    tail = F.regexp_replace(tail, r"\s*\([+-][\d,.]+[^()]*(\([^()]*\))?\)", "")
-    return F.concat(head, F.regexp_replace(tail, r"\s*\([+-]?[\d.]+%\)", ""))
+
+def stripped_length(text: Column) -> Column:
+    """Length without white space at the ends."""
+    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""))
+
+
+def is_boilerplate_table(headers: Column, rows: Column, most: int = 300) -> Column:
+    """A small table of contact details: two pattern hits in its cells, or two cells with a contact word."""
+    cells = F.filter(F.transform(F.flatten(F.concat(F.array(headers), rows)), lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")), lambda c: c != "")
+    flat = F.array_join(cells, " ")
+    hits_ = F.size(F.regexp_extract_all(flat, F.lit(BOILERPLATE_BLOCK), 0))
+    return (F.size(cells) > 0) & (F.length(flat) <= most) & ((hits_ >= 2) | (F.size(F.filter(cells, lambda c: any_of(F.lower(c), CONTACT_CELLS))) >= 2))
 
 
 def split_companies(names: Column) -> Column:
-    return F.filter(F.transform(F.split(names, r"(?i)\s+(?:vs\.?|versus|and)\s+|[/,]"), lambda x: F.trim(x)), lambda x: x != "")
+    """The companies of a field that joins several; a single one, or none, stays as it is."""
+    parts = F.filter(F.transform(F.split(names, r"(?i)\s+(?:vs\.?|versus|and)\s+|\s*/\s*|\s*,\s*"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(F.size(parts) > 1, parts).otherwise(F.array(names))
+
+
+def all_companies(names: Column) -> Column:
+    return F.coalesce(names, F.lit("")).rlike(r"(?i)^\s*all(?:\s+companies)?\s*$")

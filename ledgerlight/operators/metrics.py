@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed value: the domain's words.
+TERMS = (
+    "revenue", "operations", "profit", "loss", "ebitda", "eps", "earnings", "margin", "income", "expense", "expenses", "tax", "interest", "crore", "lakh", "million",
+    "billion", "consolidated", "standalone", "quarter", "quarterly", "annual", "fiscal", "year", "yoy", "qoq", "sequential", "segment", "guidance", "outlook",
+    "dividend", "assets", "liabilities", "equity", "cash", "flow", "npa", "aum", "disbursement", "borrower", "growth", "decline", "increase", "decrease", "net",
+    "gross", "total",
+)
+
 
 def jaccard(a: Column, b: Column) -> Column:
     """Null where both are empty."""
@@ -29,9 +37,60 @@ def context_precision(retrieved: Column, truth: Column) -> Column:
     return F.when(F.size(retrieved) > 0, F.size(F.array_intersect(retrieved, truth)) / F.size(retrieved))
 
 
-def term_precision(answer_terms: Column, vocabulary: Column, truth_terms: Column) -> Column:
-    own = F.array_intersect(answer_terms, vocabulary)
-    return F.when(F.size(own) > 0, F.size(F.array_intersect(own, truth_terms)) / F.size(own))
+def terms(text: Column, vocabulary: tuple[str, ...] = TERMS) -> Column:
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z]+)"), 1)
+    return F.array_distinct(F.filter(words, lambda w: w.isin(*vocabulary)))
+
+
+def term_precision(answer: Column, truth: Column) -> Column:
+    """Of the domain's words in the answer, the share that the truth has; null without any."""
+    own = terms(answer)
+    return F.when(F.size(own) > 0, F.size(F.array_intersect(own, terms(truth))) / F.size(own))
+
+
+def source_type_accuracy(modality: Column, types: Column) -> Column:
+    """Whether the retrieved source types cover the question's modality (pdf, audio or pdf+audio); null for others or nothing retrieved."""
+    low = F.transform(types, lambda t: F.lower(F.coalesce(t, F.lit(""))))
+    has = lambda t: F.array_contains(low, t)
+    ok = F.when(modality == "pdf", has("pdf")).when(modality == "audio", has("audio")).when(modality == "pdf+audio", has("pdf") & has("audio"))
+    return F.when(F.size(types) > 0, ok.cast("double"))
+
+
+def page_recall(retrieved_pages: Column, truth_pages: Column) -> Column:
+    """Recall by page, for questions without chunk ids."""
+    return recall(retrieved_pages, truth_pages)
+
+
+def source_hits(ids: Column, places: Column, truth_ids: Column, truth_docs: Column, truth_pages: Column) -> tuple[Column, Column]:
+    """(hit, recall) that also credit a chunk of an annotated document and page. ``places`` is array<struct<doc, page>>; documents
+    agree where one name, without its ending, lies within the other. Null without annotation."""
+    bare = lambda d: F.regexp_replace(F.lower(F.coalesce(d, F.lit(""))), r"\.[a-z0-9]+$", "")
+    pages = F.array_distinct(truth_pages)
+    targets = F.flatten(F.transform(F.array_distinct(F.transform(truth_docs, bare)), lambda d: F.transform(pages, lambda p: F.struct(d.alias("doc"), p.alias("page")))))
+    same = lambda t, r: (t["page"] == r["page"]) & (r["doc"] != "") & (bare(r["doc"]).contains(t["doc"]) | t["doc"].contains(bare(r["doc"])))
+    met = F.size(F.filter(targets, lambda t: F.exists(places, lambda r: F.coalesce(same(t, r), F.lit(False)))))
+    hits = F.size(F.array_intersect(ids, truth_ids)) + met
+    total = F.size(F.array_distinct(truth_ids)) + F.size(targets)
+    return F.when(total > 0, (hits > 0).cast("double")), F.when(total > 0, F.least(F.lit(1.0), hits / total))
+
+
+def mean_scores(retrieved: DataFrame, scores: list[str]) -> DataFrame:
+    """Mean of each score per question over the chunks that have it."""
+    return retrieved.groupBy("question_id").agg(*[F.avg(c).alias(f"avg_{c}") for c in scores])
+
+
+def chunk_statistics(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """Chunks by type per key."""
+    kinds = ("text", "table", "audio")
+    return chunks.groupBy(*keys).agg(F.count("*").alias("n"), *[F.count_if(F.col("chunk_type") == k).alias(f"n_{k}") for k in kinds])
+
+
+def failure_counts(rows: DataFrame, flags: dict[str, Column]) -> DataFrame:
+    """One row: how many rows each test caught, and how many none did."""
+    clean = None
+    for test in flags.values():
+        clean = ~F.coalesce(test, F.lit(False)) if clean is None else clean & ~F.coalesce(test, F.lit(False))
+    return rows.agg(*[F.count_if(F.coalesce(test, F.lit(False))).alias(name) for name, test in flags.items()], F.count_if(clean).alias("kept"))
 
 
 def bucket_summary(rows: DataFrame, bucket: str, columns: list[str]) -> DataFrame:
@@ -61,3 +120,33 @@ def rouge_n(pred: Column, truth: Column, n: int = 1) -> Column:
     count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
     both = F.aggregate(F.array_distinct(p), F.lit(0), lambda s, x: s + F.least(count(p, x), count(g, x)))
     return F.when((F.size(p) > 0) & (F.size(g) > 0), 2.0 * both / (F.size(p) + F.size(g)))
+
+
+def rouge_l(pred: Column, truth: Column) -> Column:
+    """F1 of the longest common subsequence of two token arrays; null where one is empty. One row of the table is carried."""
+    zero = F.transform(pred, lambda _: F.lit(0))
+
+    def step(row: Column, word: Column) -> Column:
+        start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("left"), F.lit(0).alias("diagonal"))
+        cells = F.arrays_zip(pred.alias("w"), row.alias("up"))
+        cell = lambda s, c: F.when(c["w"] == word, s["diagonal"] + 1).otherwise(F.greatest(s["left"], c["up"]))
+        done = F.aggregate(cells, start, lambda s, c: F.struct(F.concat(s["out"], F.array(cell(s, c))).alias("out"), cell(s, c).alias("left"), c["up"].alias("diagonal")))
+        return done["out"]
+
+    both = F.coalesce(F.element_at(F.aggregate(truth, zero, step), -1), F.lit(0))
+    return F.when((F.size(pred) > 0) & (F.size(truth) > 0), 2.0 * both / (F.size(pred) + F.size(truth)))
+
+
+def bleu(pred: Column, truth: Column, orders: int = 4, epsilon: float = 0.1) -> Column:
+    """Sentence BLEU of two token arrays: geometric mean of clipped n-gram precisions, an order without a match counted as
+    ``epsilon``, with the brevity penalty; 0 without a common word, null where one is empty."""
+    grams = lambda t, n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1))), lambda i: i + n - 1 <= F.size(t)), lambda i: F.array_join(F.slice(t, i, n), " "))
+    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
+    logs, first = F.lit(0.0), None
+    for n in range(1, orders + 1):
+        p, g = grams(pred, n), grams(truth, n)
+        hits = F.aggregate(F.array_distinct(p), F.lit(0), lambda s, x: s + F.least(count(p, x), count(g, x)))  # noqa: B023
+        first = hits if first is None else first
+        logs = logs + F.log(F.when(hits > 0, hits.cast("double")).otherwise(epsilon) / F.greatest(F.size(p), F.lit(1))) / orders
+    brevity = F.when(F.size(pred) >= F.size(truth), 0.0).otherwise(1 - F.size(truth) / F.size(pred))
+    return F.when((F.size(pred) > 0) & (F.size(truth) > 0), F.when(first == 0, 0.0).otherwise(F.exp(logs + brevity)))

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import signature, tokens
+from ..functions.periods import in_quarter, in_source, in_years
+from ..functions.text import company_key, same_company, signature, tokens
 
+# Boosts by chunk type, and the constants of BM25.
 BOOST_NUMERIC = {"table": 1.15, "text": 1.05, "audio": 0.85}
 BOOST_QUALITATIVE = {"table": 0.90, "text": 0.95, "audio": 1.15}
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -55,12 +57,15 @@ def bm25_idf(posts: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def bm25_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(question_id, chunk_id, bm25) of chunks that share a term with (question_id, question); repeated terms count again."""
+    """(question_id, chunk_id, bm25) of chunks that share a term with (question_id, question); repeated terms count again.
+
+    Every statistic is of the whole corpus. Postings are cut to the asked terms before they meet the questions."""
     posts, totals = bm25_statistics(chunks)
     asked = questions.select("question_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("qn"))
+    own = posts.join(asked.select("term").distinct(), "term", "left_semi")
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    rows = posts.join(asked, "term").join(bm25_idf(posts, totals), "term").join(F.broadcast(totals))
-    return rows.groupBy("question_id", "chunk_id").agg(F.sum(F.col("qn") * F.col("idf") * tf).alias("bm25"))
+    weighed = own.join(bm25_idf(posts, totals), "term").join(F.broadcast(totals)).select("term", "chunk_id", (F.col("idf") * tf).alias("w"))
+    return weighed.join(asked, "term").groupBy("question_id", "chunk_id").agg(F.sum(F.col("qn") * F.col("w")).alias("bm25"))
 
 
 def normalised(scores: DataFrame, column: str) -> DataFrame:
@@ -92,9 +97,9 @@ def financial_boost(numeric: Column, names_metric: Column, metric_in_text: Colum
 
 
 def collapse_near_duplicates(scored: DataFrame, text: str = "text", score: str = "score") -> DataFrame:
-    """The best of each signature per question; blank signatures all stay."""
+    """The best of each signature per question; blank signatures all stay, and are spread by chunk instead of gathered."""
     rows = scored.withColumn("sig_", signature(F.col(text)))
-    w = Window.partitionBy("question_id", "sig_").orderBy(F.desc(score), "chunk_id")
+    w = Window.partitionBy("question_id", "sig_", F.when(F.col("sig_") == "", F.col("chunk_id"))).orderBy(F.desc(score), "chunk_id")
     return rows.withColumn("rn_", F.row_number().over(w)).where("rn_ = 1 or sig_ = ''").drop("rn_", "sig_")
 
 
@@ -135,9 +140,60 @@ def seed_centroid(ranked: DataFrame, vectors: DataFrame, seeds: int = 5) -> Data
 
 
 def filter_with_fallback(rows: DataFrame, keep: Column, keys=("question_id",)) -> DataFrame:
-    """Rows that satisfy ``keep``, or all rows of a question where none does."""
-    w = Window.partitionBy(*keys)
-    return rows.withColumn("k_", F.coalesce(keep, F.lit(False))).withColumn("any_", F.max("k_").over(w)).where("k_ or not any_").drop("k_", "any_")
+    """Rows that satisfy ``keep``, or all rows of a key where none does. Only keys with a kept row travel, not the rows."""
+    flagged = rows.withColumn("k_", F.coalesce(keep, F.lit(False)))
+    some = flagged.where("k_").select(*[F.col(k).alias(f"{k}_k") for k in keys]).distinct()
+    same = None
+    for k in keys:
+        one = F.col(k).eqNullSafe(F.col(f"{k}_k"))
+        same = one if same is None else same & one
+    out = flagged.join(some.withColumn("any_", F.lit(True)), same, "left")
+    return out.where("k_ or any_ is null").select(*rows.columns)
+
+
+def scoped(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(question_id, chunk_id) within the wishes of each question (question_id, company, year, quarter, source_filter): a company
+    matched by name key, a year or range of years, a quarter, a source type. Empty wishes are no filter.
+
+    Wishes are few beside questions: each distinct one meets the few distinct (company, year, quarter, source_type) of the chunks,
+    and both sides are joined back by equality."""
+    wish = ["company", "year", "quarter", "source_filter"]
+    place = ["company", "year", "quarter", "source_type"]
+    w = questions.select(*wish).distinct().select(F.struct(*wish).alias("wish"), company_key(F.col("company")).alias("wk"))
+    c = chunks.select(*place).distinct().select(F.struct(*place).alias("place"), company_key(F.col("company")).alias("ck"))
+    company = (F.coalesce("wish.company", F.lit("")) == "") | same_company(F.col("ck"), F.col("wk"))
+    fits = company & in_years(F.col("place.year"), F.col("wish.year")) & in_quarter(F.col("place.quarter"), F.col("wish.quarter")) & in_source(F.col("place.source_type"), F.col("wish.source_filter"))
+    met = w.join(c, fits).select("wish", "place")
+    q = questions.select("question_id", F.struct(*wish).alias("wish"))
+    p = chunks.select("chunk_id", F.struct(*place).alias("place"))
+    return q.join(met, q["wish"].eqNullSafe(met["wish"])).select("question_id", met["place"]).alias("a").join(p.alias("b"), F.col("a.place").eqNullSafe(F.col("b.place"))).select("question_id", "chunk_id")
+
+
+def quarter_chunks(edges: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row per quarter (src) and embedded chunk (dst) that an edge of any kind ties; text falls back to what was embedded."""
+    rows = edges.select(F.col("src").alias("quarter_id"), F.col("dst").alias("chunk_id")).distinct().join(chunks.where("embedding is not null"), "chunk_id")
+    return rows.withColumn("text", F.coalesce("text", "embedding_text"))
+
+
+def union_of_companies(scored: DataFrame, k: int) -> DataFrame:
+    """The k best of each of a question's companies (question_id, company, chunk_id, score, place of the company), each chunk once,
+    with the first company that has it."""
+    best = Window.partitionBy("question_id", "company").orderBy(F.desc("score"), "chunk_id")
+    rows = scored.withColumn("r_", F.row_number().over(best)).where(F.col("r_") <= k)
+    first = Window.partitionBy("question_id", "chunk_id").orderBy("place", "r_")
+    return rows.withColumn("f_", F.row_number().over(first)).where("f_ = 1").drop("r_", "f_")
+
+
+def reranked(ranked: DataFrame, rerank_score: str = "rerank_score", pool: int = 30, alpha: float = 0.5) -> DataFrame:
+    """The first ``pool`` rows by the mean of both scores, each scaled to 0..1 in its question; rows behind the pool stay there.
+    The scores come from a provider."""
+    from ..functions.numbers import min_max
+
+    w = Window.partitionBy("question_id", F.col("rank") <= pool)
+    both = alpha * min_max(F.col(rerank_score), w) + (1 - alpha) * min_max(F.col("score"), w)
+    rows = ranked.withColumn("blend_", F.round(both, 12))
+    order = Window.partitionBy("question_id").orderBy(F.when(F.col("rank") <= pool, 0).otherwise(1), F.when(F.col("rank") <= pool, -F.col("blend_")).otherwise(F.col("rank")), "chunk_id")
+    return rows.withColumn("pos", F.row_number().over(order)).drop("blend_")
 
 
 def fair_cap(ranked: DataFrame, base_k: int) -> DataFrame:

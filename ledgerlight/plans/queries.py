@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import facts as FA
 from ..operators import graph as G
+from ..operators import load as L
 from ..operators import metrics as M
 from ..operators import retrieval as RT
 from ..operators import temporal as TE
@@ -250,9 +251,11 @@ def q_fact_dedupe(spark, sf_dir: str) -> DataFrame:
     return FA.first_per_signature(rows, ["k"], "fact", ["id"]).select("k", "fact", "id")
 
 
-@query("""select s_suppkey, label, quarter, case when label in ('col_3', 'Q4 FY204') then true else false end as bad, label in ('Half year ended', 'previous year') as other_window,
-    label in ('Q2 FY26', '30-Jun-23', 'Sep 30, 2025', 'Q4 FY204') as shaped, label in ('Q2 FY26', 'Sep 30, 2025') and quarter <> 'Q2' or label = 'Q4 FY204' and false as contradicts
-  from (select s_suppkey, ['col_3', 'Q4 FY204', 'Half year ended', 'previous year', 'Q2 FY26', '30-Jun-23', 'Sep 30, 2025', '30 Sep 2025'][s_suppkey % 8 + 1] as label, 'Q' || (s_suppkey % 3 + 1)::varchar as quarter from supplier)""")
+@query(f"""with l as (select s_suppkey, ['col_3', 'Q4 FY204', 'Half year ended', 'previous year', 'Q2 FY26', '30-Jun-23', 'Sep 30, 2025', '30 Sep 2025'][s_suppkey % 8 + 1] as label, 'Q' || (s_suppkey % 3 + 1)::varchar as quarter from supplier),
+  d as (select *, coalesce(try_strptime(label, '%b %d, %Y'), try_strptime(label, '%d %b %Y')) as day, regexp_extract(label, '^Q([1-4]) FY(\\d{{2}}|\\d{{4}})$', 1) as q, regexp_extract(label, '^Q([1-4]) FY(\\d{{2}}|\\d{{4}})$', 2) as y from l),
+  p as (select *, case when q <> '' then try_cast(q as int) else quarter(day - interval 3 month) end as fq, case when y <> '' then 2000 + try_cast(y as int) % 2000 else year(day + interval 9 month) end as fy from d)
+  select s_suppkey, label, quarter, regexp_matches(label, '{P.PLACEHOLDER}') or len(list_filter(regexp_extract_all(label, '(?i)\\bFY\\s*(\\d+)\\b', 1), lambda x: len(x) not in (2, 4))) > 0 as bad, regexp_matches(label, '{P.OTHER_WINDOW}') or regexp_matches(label, '{P.PRIOR_YEAR}') as other_window,
+    length(label) <= 30 and regexp_matches(label, '{P.STRICT_PERIOD.replace("'", "''")}') as shaped, coalesce('Q' || fq <> quarter or fy <> 2026, false) as contradicts from p""")
 def q_period_guards(spark, sf_dir: str) -> DataFrame:
     labels = F.array(*map(F.lit, ("col_3", "Q4 FY204", "Half year ended", "previous year", "Q2 FY26", "30-Jun-23", "Sep 30, 2025", "30 Sep 2025")))
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.get(labels, (F.col("s_suppkey") % 8).cast("int")).alias("label"), F.concat(F.lit("Q"), (F.col("s_suppkey") % 3 + 1).cast("string")).alias("quarter"))
@@ -313,8 +316,9 @@ _HYBRID = f"""{_DENSE}, {_BM25.replace("item_id as question_id", "doc_id as ques
 
 
 def _hybrid(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("question_id"), F.col("text").alias("question"))
+    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    # Questions without a vector have no dense scores, so their sparse ones are never read.
+    asked = docs.where("doc_id % 50 = 0").join(vectors, docs["doc_id"] == vectors["vec_id"], "left_semi").select(F.col("doc_id").alias("question_id"), F.col("text").alias("question"))
     sparse = RT.normalised(RT.bm25_scores(asked, chunks(spark, sf_dir)), "bm25")
     return _dense(spark, sf_dir).join(sparse, ["question_id", "chunk_id"], "left").withColumn("score", RT.blend(F.col("dense"), F.col("bm25")))
 
@@ -351,10 +355,10 @@ def q_signature_groups(spark, sf_dir: str) -> DataFrame:
 _RANKED_SQL = f"with {_DENSE}, r as (select *, case when label in (3, 7) then 'audio' else 'text' end as kind, ((chunk_id * 7919) % 1000 - 500) / 1000.0 as structural, row_number() over (partition by question_id order by round(dense, 8) desc, chunk_id)::int as rank from d)"
 
 
-def _ranked(spark, sf_dir: str) -> DataFrame:
+def _ranked(spark, sf_dir: str, k: int = 1 << 30) -> DataFrame:
     kinds = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.when(F.col("label").isin(3, 7), "audio").otherwise("text").alias("kind"))
     rows = _dense(spark, sf_dir).join(kinds, "chunk_id").withColumn("score", F.round("dense", 8)).withColumn("structural", ((F.col("chunk_id") * 7919) % 1000 - 500) / 1000.0)
-    return RT.top_k(rows, 1 << 30)
+    return RT.top_k(rows, k)
 
 
 @query(_RANKED_SQL + """, s as (select *, row_number() over (partition by question_id, kind order by rank) as o, greatest(sum((kind = 'audio' and rank <= 7)::int) over (partition by question_id), least(2, sum((kind = 'audio')::int) over (partition by question_id))) as slots from r)
@@ -373,7 +377,7 @@ def q_expand_pool(spark, sf_dir: str) -> DataFrame:
   select question_id, chunk_id, round(0.5 * case when dh > dl then (dense - dl) / (dh - dl) else 0.5 end + 0.5 * case when sh > sl then (structural - sl) / (sh - sl) else 0.5 end, 6) as score from m""")
 def q_minmax_blend(spark, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("question_id")
-    rows = _ranked(spark, sf_dir).where("rank <= 30")
+    rows = _ranked(spark, sf_dir, 30)
     return rows.select("question_id", "chunk_id", F.round(0.5 * N.min_max(F.col("dense"), w) + 0.5 * N.min_max(F.col("structural"), w), 6).alias("score"))
 
 
@@ -381,7 +385,7 @@ def q_minmax_blend(spark, sf_dir: str) -> DataFrame:
   select question_id, (i - 1)::int as i, round(m / sqrt(sum(m * m) over (partition by question_id)), 6) as x from m""")
 def q_seed_centroid(spark, sf_dir: str) -> DataFrame:
     vec = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
-    return RT.seed_centroid(_ranked(spark, sf_dir), vec).select("question_id", F.posexplode("centroid").alias("i", "x")).select("question_id", "i", F.round("x", 6).alias("x"))
+    return RT.seed_centroid(_ranked(spark, sf_dir, 5), vec).select("question_id", F.posexplode("centroid").alias("i", "x")).select("question_id", "i", F.round("x", 6).alias("x"))
 
 
 _STATE = "case when doc_id % 4 = 0 then text || ' Standalone results' when doc_id % 4 = 1 then 'Statement of consolidated audited financial results ' || text when doc_id % 4 = 2 then text || ' standalone and consolidated' else text end"
@@ -461,9 +465,9 @@ def q_boilerplate(spark, sf_dir: str) -> DataFrame:
     return _varied(spark, sf_dir).select("doc_id", T.is_boilerplate_chunk(F.col("text")).alias("chunk"), T.is_boilerplate_block(F.col("text")).alias("block"))
 
 
-@query("select doc_id, length(trim(text)) as n from documents where length(trim(text)) >= 30")
+@query("select doc_id, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) as n from documents where length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 30")
 def q_short_chunks(spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(F.trim("text")).cast("long").alias("n")).where("n >= 30")
+    return table(spark, sf_dir, "documents").select("doc_id", T.stripped_length(F.col("text")).cast("long").alias("n")).where("n >= 30")
 
 
 _SCORES = [(n, _count(w, "lower(t)")) for n, w in T.PAGE_TYPES]
@@ -534,12 +538,12 @@ def q_page_text(spark, sf_dir: str) -> DataFrame:
 
 @query()
 def q_split_text(spark, sf_dir: str) -> DataFrame:
-    return C.split_text(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")))
+    return C.split_text(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 @query()
 def q_merge_segments(spark, sf_dir: str) -> DataFrame:
-    return C.merge_segments(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("call"), F.col("turn").alias("seq"), "text"))
+    return C.merge_segments(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("call"), F.col("turn").alias("seq"), (F.col("turn") * 10.0).cast("double").alias("start"), (F.col("turn") * 10.0 + 9).cast("double").alias("end"), T.spoken_terms(T.clean_speech(F.col("text"))).alias("text")))
 
 
 @query()
@@ -586,14 +590,6 @@ def q_evidence_sufficiency(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.round(N.sufficiency(F.col("text"), truth), 6).alias("share"))
 
 
-@query("select item_id, doc_id from benchmark b join documents d on contains(d.text, b.text)")
-def q_provenance_exact(spark, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("evidence"))
-    if items.count() > RT.MOST_QUESTIONS:
-        raise ValueError("search the evidence in blocks")
-    return table(spark, sf_dir, "documents").join(F.broadcast(items), F.col("text").contains(F.col("evidence"))).select("item_id", "doc_id")
-
-
 @query("""select coalesce(case when grouping(source) = 1 then 'ALL' else source end, 'none') as bucket, count(*) as n, round(avg(n_chars), 6) as n_chars, round(avg(quality), 6) as quality, round(avg(toxic), 6) as toxic
   from documents left join labels using (doc_id) group by rollup (source)""")
 def q_bucket_summary(spark, sf_dir: str) -> DataFrame:
@@ -642,7 +638,7 @@ def q_table_unpivot(spark, sf_dir: str) -> DataFrame:
     money = F.col("c_acctbal").cast("decimal(18,2)").cast("string")
     percent = F.concat((F.col("c_custkey") % 50).cast("string"), F.lit(" %"))
     rows = F.array(F.array(F.lit("Balance"), money, F.lit("-")), F.array(F.lit(" "), F.lit(""), F.lit("")), F.array(F.lit("Margin"), F.lit("n/a"), percent), F.array(F.lit("Notes"), F.lit("1"), F.lit("2")))
-    t = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("table_id"), F.concat("c_mktsegment", F.lit(" Rs. in crore")).alias("title"), F.array(*map(F.lit, ("Particulars", "Q1 FY24", "Q2 FY24"))).alias("headers"), rows.alias("rows"))
+    t = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("table_id"), F.concat("c_mktsegment", F.lit(" Rs. in crore")).alias("title"), F.array(*map(F.lit, ("Particulars", "Q1 FY24", "Q2 FY24"))).alias("headers"), TB.clean_rows(rows).alias("rows"))
     return TB.unpivot(t).select("table_id", "row_no", "name", "period", "value", "unit")
 
 
@@ -662,13 +658,14 @@ def q_upsert_last_wins(spark, sf_dir: str) -> DataFrame:
 
 @query("select user_id, arg_max(event_type, (ts, event_id)) as sentiment from events group by user_id")
 def q_latest_sentiment(spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("sentiment"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("quarter_id"), F.col("event_type").alias("sentiment"), F.struct("ts", "event_id").alias("seq"))
+    return L.latest_sentiment(rows, "seq").withColumnRenamed("quarter_id", "user_id")
 
 
 @query("select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R')")
 def q_resume_antijoin(spark, sf_dir: str) -> DataFrame:
     done = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "orders").select("o_orderkey").join(done, "o_orderkey", "left_anti")
+    return S.resume(table(spark, sf_dir, "orders").select("o_orderkey"), done, ("o_orderkey",))
 
 
 @query("""with h as (select distinct o_custkey as node from orders where o_orderpriority like '1%'), o as (select distinct o_orderkey as node from orders join h on o_custkey = h.node) select distinct l_partkey as node from lineitem join o on l_orderkey = o.node""")
@@ -686,14 +683,10 @@ def q_fastrp(spark, sf_dir: str) -> DataFrame:
 
 
 @query()
-def q_answer_offline(spark, sf_dir: str) -> DataFrame:
+def q_answer_path(spark, sf_dir: str) -> DataFrame:
     from .answer import answers
 
     return answers(spark, sf_dir)
 
 
-@query()
-def q_ablation(spark, sf_dir: str) -> DataFrame:
-    from .answer import ablation
-
-    return ablation(spark, sf_dir)
+from . import path_queries  # noqa: E402, F401  (registers its queries here)

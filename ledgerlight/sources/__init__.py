@@ -97,8 +97,20 @@ def resume(rows: DataFrame, done: DataFrame, keys=("question", "company", "quart
     return rows.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def markdown_report(summary: DataFrame, columns: list[str]) -> str:
-    """A small summary (one row per bucket) as a Markdown table."""
+def json_rows(text):
+    """Table rows kept as JSON; null where that is broken."""
+    return F.from_json(text, "array<array<string>>")
+
+
+def markdown_report(summary: DataFrame, columns: list[str], most: int = 1000) -> str:
+    """A small summary (one row per bucket) as a Markdown table; more than ``most`` rows are no report and raise."""
     show = lambda v: "n/a" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
-    rows = summary.select(*columns).limit(1000).collect()  # a report is small by nature
+    rows = summary.select(*columns).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of over {most} rows")
     return "\n".join(["| " + " | ".join(columns) + " |", "|" + "-|" * len(columns), *("| " + " | ".join(show(r[c]) for c in columns) + " |" for r in rows)])
+
+
+def merge_failures(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Failed chunks by chunk_id; a later failure replaces the earlier one."""
+    return old.join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(new)
