@@ -17,9 +17,12 @@ _MASK = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one is set only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. A local one is set only where it is unset and one machine runs
+    everything; elsewhere a missing setting raises."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "/tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

@@ -35,7 +35,7 @@ RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 def _buckets(df: DataFrame, buckets: int) -> DataFrame:
     """Adds the bucket numbers of all token unigrams and bigrams; reads ``text``."""
-    tokens = words_column(F.regexp_replace("text", "([!-/:-@\\[-`{-~]+)", " $1 "))
+    tokens = words_column(F.regexp_replace("text", "[!-/:-@\\[-`{-~]+", " $0 "))
     df = df.withColumn("crcs", F.transform(tokens, lambda w: F.crc32(w)))
     pairs = F.zip_with(F.expr("slice(crcs, 1, greatest(size(crcs) - 1, 0))"), F.expr("slice(crcs, 2, greatest(size(crcs) - 1, 0))"), lambda a, b: (a * 31 + b) % buckets)
     return df.withColumn("buckets", F.concat(F.transform("crcs", lambda c: c % buckets), pairs)).drop("crcs")
