@@ -152,3 +152,24 @@ def min_max(x: Column, window) -> Column:
     """Scaled to 0..1 over a window; a flat one gives 0.5."""
     lo, hi = F.min(x).over(window), F.max(x).over(window)
     return F.when(hi > lo, (x - lo) / (hi - lo)).otherwise(0.5)
+
+
+def two_places(x: Column) -> Column:
+    """A double with two decimals as C's '%.2f' writes it: the exact binary value rounds, half to even, and the sign of a negative
+    that rounds to zero stays. A cast to decimal rounds the shortest decimal form instead, half up: 2.675 is below its tie.
+
+    The product with 1000 is taken with its error (Dekker), so a tie is told from its neighbours. Null beyond 9e12 and for no number.
+    """
+    a = F.abs(x)
+    big = a * 134217729.0
+    high = big - (big - a)
+    p = a * 1000.0
+    error = (high * 1000.0 - p) + (a - high) * 1000.0
+    m = F.rint(p)
+    rest = (p - m) + error
+    whole = m.cast("long")
+    tenth, last = F.floor(whole / 10).cast("long"), F.pmod(whole, F.lit(10))
+    up = (last > 5) | ((last == 5) & ((rest > 0) | ((rest == 0) & (F.pmod(tenth, F.lit(2)) == 1))))
+    n = tenth + up.cast("long")
+    minus = F.when((x < 0) | ((x == 0) & x.cast("string").startswith("-")), "-").otherwise("")
+    return F.when(a < 9e12, F.concat(minus, F.floor(n / 100).cast("string"), F.lit("."), F.lpad(F.pmod(n, F.lit(100)).cast("string"), 2, "0")))
