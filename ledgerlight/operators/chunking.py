@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,23 +36,32 @@ def window_dedupe(blocks: DataFrame, pages: int = 3) -> DataFrame:
     """Drops a block whose text, white space at its ends aside, was kept within the last ``pages`` pages; dropped copies do not
     renew the mark. Headings (a column ``is_heading``, if there is one) all stay.
 
-    The fold needs the kept history of one text, so the group is a text within a document, not the document.
+    Rows stream past in the order of document, text and page, so no group is held, and none costs a call of its own.
     """
+    columns, schema = blocks.columns, blocks.schema
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for batch in batches:
+            keep = []
+            for doc, text, page in zip(batch["doc"].to_pylist(), batch["plain_"].to_pylist(), batch["page"].to_pylist(), strict=True):
+                if (doc, text) != now:
+                    now, last = (doc, text), None
+                page = float("nan") if page is None else page
+                ok = last is None or page - last > pages
+                keep.append(ok)
+                last = page if ok else last
+            yield batch.select(columns).filter(pa.array(keep, pa.bool_()))
+
+    def body(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("plain_", F.regexp_replace("text", r"^\s+|\s+$", ""))
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        order = ["doc", "plain_", F.col("page").asc_nulls_last(), F.col("pos").asc_nulls_last()]
+        return rows.repartition(parts, "doc", "plain_").sortWithinPartitions(*order).mapInArrow(fold, schema)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page", "pos"])
-        keep, last = [], None
-        for page in pdf["page"]:
-            ok = last is None or page - last > pages
-            keep.append(ok)
-            last = page if ok else last
-        return pdf[keep]
-
-    plain = F.regexp_replace("text", r"^\s+|\s+$", "")
     if "is_heading" not in blocks.columns:
-        return blocks.groupBy("doc", plain).applyInPandas(fold, blocks.schema)
-    body = blocks.where("not coalesce(is_heading, false)").groupBy("doc", plain).applyInPandas(fold, blocks.schema)
-    return blocks.where("is_heading").unionByName(body)
+        return body(blocks)
+    return blocks.where("is_heading").unionByName(body(blocks.where("not coalesce(is_heading, false)")))
 
 
 def _split(text: str, limit: int, carry: int) -> list[str]:
