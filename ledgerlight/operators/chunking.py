@@ -143,10 +143,13 @@ def reading_order(blocks: DataFrame) -> DataFrame:
 
 def column_anchors(words: DataFrame, gap: float = 18.0, least: float = 0.3) -> DataFrame:
     """(doc, page, anchor_no, anchor): right edges (doc, page, x1) in runs without a gap, the mean of each run that has at least
-    ``least`` of the largest one's edges. Anchors are numbered from the left."""
+    ``least`` of the largest one's edges. Anchors are numbered from the left; words without an edge count in the last run.
+
+    Gaps are added up by range, so equal edges share a run in whatever order they come."""
     page = Window.partitionBy("doc", "page")
-    new = F.coalesce((F.col("x1") - F.lag("x1").over(page.orderBy("x1")) > gap).cast("int"), F.lit(0))
-    runs = words.withColumn("new_", new).withColumn("run_", F.sum("new_").over(page.orderBy("x1").rowsBetween(Window.unboundedPreceding, 0)))
+    edges = page.orderBy(F.col("x1").asc_nulls_last())
+    new = F.coalesce((F.col("x1") - F.lag("x1").over(edges) > gap).cast("int"), F.lit(0))
+    runs = words.withColumn("new_", new).withColumn("run_", F.sum("new_").over(edges.rangeBetween(Window.unboundedPreceding, 0)))
     sums = runs.groupBy("doc", "page", "run_").agg(F.count("*").alias("n_"), F.avg("x1").alias("anchor"))
     kept = sums.withColumn("most_", F.max("n_").over(page)).where(F.col("n_") >= least * F.col("most_"))
     return kept.withColumn("anchor_no", F.row_number().over(page.orderBy("run_")) - 1).select("doc", "page", "anchor_no", "anchor")
